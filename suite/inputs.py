@@ -99,3 +99,50 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for c, t in df.dtypes
         ]
     )
+
+
+def pool3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool with a third feature, for designs and matching."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("campaign"),
+        F.col("p_partkey").alias("point_id"),
+        F.array(
+            F.col("p_size").cast("double"),
+            F.col("p_retailprice") / 10,
+            F.length("p_name").cast("double"),
+        ).alias("x"),
+        (F.col("p_retailprice") + F.col("p_size") * 3).alias("y"),
+    )
+
+
+POOL3 = """pool AS (
+  SELECT p_brand AS campaign, p_partkey AS point_id, CAST(p_size AS DOUBLE) AS x1,
+         p_retailprice / 10 AS x2, CAST(length(p_name) AS DOUBLE) AS x3,
+         p_retailprice + p_size * 3 AS y FROM part)"""
+
+LIMITS3 = """limits AS (
+  SELECT campaign, min(x1) a1, max(x1) b1, min(x2) a2, max(x2) b2, min(x3) a3, max(x3) b3,
+         count(*) AS n FROM pool GROUP BY 1)"""
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a predicted mean and deviation taken from their order lines."""
+    lines = table(spark, sf_dir, "lineitem")
+    stats = lines.groupBy(F.col("l_partkey").alias("point_id")).agg(
+        (F.avg("l_extendedprice") / 1000).alias("mean"),
+        (F.stddev_pop("l_extendedprice") / 1000).alias("std"),
+        F.var_pop("l_quantity").alias("noise_var"),
+    )
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("campaign"), F.col("p_partkey").alias("point_id")
+    )
+    return part.join(stats, "point_id")
+
+
+PREDICTIONS = """stats AS (
+  SELECT l_partkey AS point_id, avg(l_extendedprice) / 1000 AS mean,
+         stddev_pop(l_extendedprice) / 1000 AS std, var_pop(l_quantity) AS noise_var
+  FROM lineitem GROUP BY 1),
+predictions AS (
+  SELECT p_brand AS campaign, s.* FROM part JOIN stats s ON p_partkey = point_id),
+best AS (SELECT campaign, max(mean) AS best FROM predictions GROUP BY 1)"""
