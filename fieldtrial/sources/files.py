@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.*") -> DataFrame:
     """Paths and sizes of the files of a folder; no content is read."""
@@ -22,7 +24,7 @@ def base_name(path: Column) -> Column:
 
 def group_key(path: Column) -> Column:
     """Part of the file name before the first ``-``, and of that before the first ``_``."""
-    return F.trim(F.split(F.split(base_name(path), "-")[0], "_")[0])
+    return strip(F.split(F.split(base_name(path), "-")[0], "_")[0])
 
 
 def group_files(df: DataFrame, path_col: str) -> DataFrame:

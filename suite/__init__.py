@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stat_queries", "prep_queries", "generation_queries", "scoring_queries")
+MODULES = (
+    "stat_queries",
+    "prep_queries",
+    "generation_queries",
+    "scoring_queries",
+    "curation_queries",
+)
 
 
 def _load() -> None:
