@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 from .exact import hash_row_number
 from .generate import hide_split, key_cols, latin_hypercube, numbered, scale_points
 
@@ -142,7 +142,8 @@ def lhs_runs(
     """Latin-hypercube runs scaled to the data range; the design size is min(50, n / 2)."""
     slots = numbered(limits, F.least(F.lit(50), F.floor(n / 2)), "run")
     unit = latin_hypercube(slots.select(*keys, "run"), keys, "run", d, seed)
-    return scale_points(unit, limits.select(*keys, "low", "high"), keys)
+    # At most 50 runs per key.
+    return cut_lineage(scale_points(unit, limits.select(*keys, "low", "high"), keys), "runs")
 
 
 def design_order(

@@ -44,9 +44,9 @@ def knn(
     if not keys:
         q, b = q.withColumn("_all", F.lit(0)), b.withColumn("_all", F.lit(0))
     ks = list(keys) or ["_all"]
-    sizes = b.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = _sizes(q, b, ks)
     if sizes.where(F.col("_n") > base_tile).isEmpty():
-        found = _tiles(q, b, k, ks, base_tile)
+        found = _tiles(q, b, k, ks, base_tile, sizes)
     else:
         found = _cells(q, b, k, ks, sizes, base_tile)
     return _best(found, k, ks).select(
@@ -54,18 +54,29 @@ def knn(
     )
 
 
+def _sizes(q: DataFrame, b: DataFrame, ks: Sequence[str]) -> DataFrame:
+    """Base rows ``_n`` and query rows ``_nq`` of every key that has both."""
+    nb = b.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    nq = q.groupBy(*ks).agg(F.count(F.lit(1)).alias("_nq"))
+    return cut_lineage(nb.join(nq, list(ks)), "sizes")
+
+
 def _best(found: DataFrame, k: int, ks: Sequence[str]) -> DataFrame:
     w = W.partitionBy(*ks, "_q").orderBy("distance", "_b")
     return found.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k)
 
 
 def _tiles(
-    q: DataFrame, b: DataFrame, k: int, ks: Sequence[str], base_tile: int
+    q: DataFrame, b: DataFrame, k: int, ks: Sequence[str], base_tile: int, sizes: DataFrame
 ) -> DataFrame:
     """Top k per query and tile; the query and base blocks of a key form a grid."""
-    nb = b.groupBy(*ks).agg(F.ceil(F.count(F.lit(1)) / base_tile).cast("int").alias("_nb"))
-    nq = q.groupBy(*ks).agg(F.ceil(F.count(F.lit(1)) / QUERY_TILE).cast("int").alias("_nq"))
-    grid = bounded_broadcast(nb.join(nq, list(ks)))
+    grid = bounded_broadcast(
+        sizes.select(
+            *ks,
+            F.ceil(F.col("_n") / base_tile).cast("int").alias("_nb"),
+            F.ceil(F.col("_nq") / QUERY_TILE).cast("int").alias("_nq"),
+        )
+    )
     mine = F.pmod(F.xxhash64("_q"), F.col("_nq")).cast("int")
     theirs = F.pmod(F.xxhash64("_b"), F.col("_nb")).cast("int")
     qs = q.join(grid, list(ks)).select(
@@ -148,7 +159,9 @@ def _cells(
         *ks, "_q", "_qx", F.col("_a.cell").alias("_cell")
     )
     cell = [*ks, "_cell"]
-    near = cut_lineage(_best(_tiles(qc, bc.drop("_far"), k, cell, base_tile), k, ks), "near")
+    rows = bc.drop("_far")
+    home_sizes = _sizes(qc, rows, cell)
+    near = cut_lineage(_best(_tiles(qc, rows, k, cell, base_tile, home_sizes), k, ks), "near")
     reach = near.groupBy(*ks, "_q").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_r")
     )
@@ -170,7 +183,8 @@ def _cells(
         .where(F.col("_cell") != F.col("_home"))
         .drop("_home")
     )
-    far = _tiles(cut_lineage(again, "again"), bc.drop("_far"), k, cell, base_tile)
+    again = cut_lineage(again, "again")
+    far = _tiles(again, rows, k, cell, base_tile, _sizes(again, rows, cell))
     return near.drop("nn", "_cell").unionByName(far.drop("_cell"))
 
 

@@ -206,20 +206,15 @@ def gram(
     cols.append((F.col(weight) if weight else F.lit(1.0)).alias("_w"))
     data = df.select(*cols)
     schema = T.StructType(
-        [data.schema[k] for k in keys]
-        + [
-            T.StructField("xtx", T.ArrayType(T.DoubleType())),
-            T.StructField("xty", T.ArrayType(T.DoubleType())),
-            T.StructField("n", T.LongType()),
-        ]
+        [data.schema[k] for k in keys] + [T.StructField("sums", T.ArrayType(T.DoubleType()))]
     )
     names = [f.name for f in schema]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[tuple, list] = {}
+        kept: dict[tuple, np.ndarray] = {}
 
         def flush() -> pd.DataFrame:
-            rows = [(*k, a.ravel(), b, n) for k, (a, b, n) in kept.items()]
+            rows = [(*key, total) for key, total in kept.items()]
             kept.clear()
             return pd.DataFrame(rows, columns=names)
 
@@ -228,36 +223,31 @@ def gram(
             for key, part in groups:
                 m = matrix(part["_x"])
                 w = part["_w"].to_numpy(float)
-                a = m.T @ (m * w[:, None])
-                b = m.T @ (w * part["_y"].to_numpy(float))
-                old = kept.get(key)
-                kept[key] = (
-                    [a, b, len(part)] if old is None else [old[0] + a, old[1] + b, old[2] + len(part)]
-                )
+                xty = m.T @ (w * part["_y"].to_numpy(float))
+                flat = np.concatenate([[len(part)], xty, (m.T @ (m * w[:, None])).ravel()])
+                kept[key] = kept[key] + flat if key in kept else flat
             if len(kept) > MAX_OPEN_KEYS:
                 yield flush()
         if kept:
             yield flush()
 
-    partial = data.mapInPandas(sums, schema)
-    parts = []
-    for name in ("xtx", "xty"):
-        # One row per matrix entry is collected back into an array.
-        entry = (
-            partial.select(*keys, F.posexplode(name).alias("_i", "_v"))
-            .groupBy(*keys, "_i")
-            .agg(F.sum("_v").alias("_v"))
-        )
-        parts.append(
-            entry.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a"))
-            .select(*keys, F.col("_a._v").alias(name))
-        )
-    total = partial.groupBy(*keys).agg(F.sum("n").alias("n"))
-    if keys:
-        return parts[0].join(parts[1], list(keys)).join(total, list(keys))
-    one = [p.withColumn("_one", F.lit(1)) for p in (*parts, total)]
-    return one[0].join(one[1], "_one").join(one[2], "_one").drop("_one")
+    entry = (
+        data.mapInPandas(sums, schema)
+        .select(*keys, F.posexplode("sums").alias("_i", "_v"))
+        .groupBy(*keys, "_i")
+        .agg(F.sum("_v").alias("_v"))
+    )
+    # One row per entry of the p x p matrix is collected back: 1 + p + p * p numbers.
+    whole = entry.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a")
+    ).select(*keys, F.col("_a._v").alias("_a"))
+    p = ((F.sqrt(4 * F.size("_a") - 3) - 1) / 2).cast("int")
+    return whole.withColumn("_p", p).select(
+        *keys,
+        F.slice("_a", F.col("_p") + 2, F.col("_p") * F.col("_p")).alias("xtx"),
+        F.slice("_a", F.lit(2), F.col("_p")).alias("xty"),
+        F.col("_a")[0].cast("bigint").alias("n"),
+    )
 
 
 def d_optimal(

@@ -66,8 +66,8 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if a count shows at most ``max_rows`` rows.
 
-    A larger side is returned without a hint and is joined by shuffle.
+    The side is computed once into the shared folder and counted there. A larger side is returned
+    without a hint and is joined by shuffle.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    side = cut_lineage(df, "side")
+    return F.broadcast(side) if side.count() <= max_rows else side

@@ -72,16 +72,13 @@ def parse_results(files: DataFrame) -> DataFrame:
         dataset.alias("dataset"),
         batch.alias("batch"),
         F.from_json("text", _ROOT).alias("root"),
-        "text",
     )
+    # Only a wrapped document is parsed a second time.
+    wrapped = F.when(F.size("root.files") > 0, F.col("root.files.data"))
+    bare = F.array(F.lit(None).cast("string"))
     documents = roots.select(
-        "path",
-        "dataset",
-        "batch",
-        F.explode(
-            F.when(F.size("root.files") > 0, F.col("root.files.data")).otherwise(F.array("text"))
-        ).alias("text"),
-    ).withColumn("root", F.from_json("text", _ROOT))
+        "path", "dataset", "batch", "root", F.explode(F.coalesce(wrapped, bare)).alias("inner")
+    ).withColumn("root", F.coalesce(F.from_json("inner", _ROOT), F.col("root")))
     competitions = (
         documents.select("path", "dataset", "batch", F.explode(_tournaments(F.col("root"))).alias("t"))
         .select("path", "dataset", "batch", F.posexplode("t.competitions").alias("i", "c"))
