@@ -29,7 +29,8 @@ PB_ROWS = {
 
 
 def decode_design(code: Column, low: Column, high: Column) -> Column:
-    """Coded levels in [-1, 1] placed in the data range."""
+    """Coded levels in [-1, 1] placed in the data range of the leading coordinates."""
+    low, high = (F.slice(side, F.lit(1), F.size(code)) for side in (low, high))
     width = F.zip_with(high, low, lambda h, l: h - l)
     share = F.transform(code, lambda c: (c + 1) / F.lit(2.0))
     return F.zip_with(low, F.zip_with(share, width, lambda s, w: s * w), lambda l, v: l + v)

@@ -234,11 +234,15 @@ def match_design(
     keys: Sequence[str],
     point: str = "point_id",
     max_neighbours: int = 10,
+    factors: int | None = None,
 ) -> DataFrame:
     """One pool point per design run: its first unused neighbour, else its nearest one.
 
+    ``factors`` compares only that many leading coordinates, for a design that caps its factors.
     A campaign brings at most (runs of its design) * ``max_neighbours`` rows to the greedy pass.
     """
+    if factors:
+        pool = pool.withColumn("x", F.slice("x", 1, factors))
     near = knn(runs, pool, max_neighbours, keys, "run", point)
     fields = [near.schema[c] for c in (*keys, "run", point)]
 

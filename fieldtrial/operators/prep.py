@@ -50,8 +50,8 @@ def log1p_target(y: Column) -> Column:
 
 
 def log_ratio_target(y: Column, control: Column) -> Column:
-    """ln(1 + y / control) with the control value of the same row."""
-    return F.log1p(y / control)
+    """ln(1 + y / control) with the control value of the same row; null for a zero control."""
+    return F.log1p(F.try_divide(y, control))
 
 
 def clean_variance(col: Column, jitter: float = 1e-6) -> Column:

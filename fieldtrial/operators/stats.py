@@ -167,11 +167,12 @@ def se_from_summary(df: DataFrame, std: str = "std_steps", n: str = "n") -> Data
 def regression_fit(
     df: DataFrame, label: str, prediction: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """R-squared and mean squared error in one pass."""
+    """R-squared and mean squared error in one pass; a constant label has no R-squared."""
     y, p = F.col(label), F.col(prediction)
+    spread = F.var_pop(y) * F.count(y)
     return df.groupBy(*keys).agg(
         F.avg((y - p) * (y - p)).alias("mse"),
-        (F.lit(1.0) - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(y))).alias("r2"),
+        F.when(spread > 0, F.lit(1.0) - F.sum((y - p) * (y - p)) / spread).alias("r2"),
         F.count(y).alias("n"),
     )
 
