@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import bounded_broadcast
+from ..session import join_small
 from .exact import blocked_row_number, running
 
 # Columns of the extraction table.
@@ -116,7 +116,7 @@ def build_prompts(questions: DataFrame, templates: DataFrame) -> DataFrame:
     """Question text for each (key, variant, column) row; ``variant`` may be null."""
     filled = F.replace(F.col("template"), F.lit("{column}"), F.col("column"))
     filled = F.replace(filled, F.lit("{variant}"), F.coalesce("variant", F.lit("")))
-    return questions.join(bounded_broadcast(templates), "column").withColumn(
+    return join_small(questions, templates, "column").withColumn(
         "prompt", filled
     ).drop("template")
 
@@ -128,7 +128,7 @@ def fan_out(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def join_variants(papers: DataFrame, variants: DataFrame) -> DataFrame:
     """Papers with their reviewed variants; a paper without any is dropped."""
-    return papers.join(variants, "key")
+    return join_small(variants, papers, "key")
 
 
 def paper_questions(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage, join_small
 from .exact import hash_row_number
 from .generate import hide_split, key_cols, latin_hypercube, numbered, scale_points
 
@@ -182,7 +182,7 @@ def visiting_position(
     inside = hash_row_number(order, [*keys, "tier"], "u", [point], "_rank")
     sizes = order.groupBy(*keys).agg(F.count(F.when(F.col("tier") == 0, 1)).alias("_first"))
     return (
-        inside.join(sizes, list(keys))
+        join_small(inside, sizes, keys)
         .withColumn(
             "position",
             F.col("_rank") + F.when(F.col("tier") > 0, F.col("_first")).otherwise(F.lit(0)),
@@ -204,12 +204,13 @@ def steps_from_order(
     order is needed. ``targets`` holds one target per key.
     """
     rank = F.struct("tier", "u", point)
-    wanted = order.join(
-        bounded_broadcast(targets.select(*keys, F.col("target_id").alias(point))), [*keys, point]
-    ).select(*keys, F.struct("tier", "u", point).alias("_t"))
+    goal = targets.select(*keys, F.col("target_id").alias(point))
+    wanted = join_small(order, goal, [*keys, point]).select(
+        *keys, F.struct("tier", "u", point).alias("_t")
+    )
     size = batch if isinstance(batch, Column) else F.lit(batch)
     return (
-        order.join(bounded_broadcast(wanted), list(keys))
+        join_small(order, wanted, keys)
         .groupBy(*keys)
         .agg(F.count(F.when(rank <= F.col("_t"), 1)).alias("position"))
         .withColumn("steps_to_target", F.ceil(F.col("position") / size).cast("bigint"))

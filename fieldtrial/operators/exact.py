@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut_lineage
+from ..session import HOT_ROWS, cut_lineage, join_small
+
 
-HOT_ROWS = 1_000_000
 SKETCH_ACCURACY = 100_000
 PROBE_GRID = 100_000
 
@@ -116,7 +116,7 @@ def order_statistics(
         hot = narrow.where(F.col("_n") > hot_rows)
         data = _bracketed(data, keys, narrow, hot)
     else:
-        data = data.join(bounded_broadcast(narrow), list(keys))
+        data = join_small(data, narrow, keys)
     counted = data.groupBy(*slot_keys, "_first", "_last", "_v").agg(
         F.count(F.lit(1)).alias("_c")
     )
@@ -134,7 +134,7 @@ def order_statistics(
     )
     wanted = targets.select(*slot_keys, "positions")
     hit = F.filter("positions", lambda p: (p >= F.col("_lo")) & (p < F.col("_hi")))
-    return near.join(bounded_broadcast(wanted), slot_keys).select(
+    return join_small(near, wanted, slot_keys).select(
         *slot_keys, F.explode(hit).alias("position"), F.col("_v").alias("value")
     )
 
@@ -155,7 +155,7 @@ def _bracketed(
     wanted = sorted({v for row in probes.select("_l", "_h").distinct().collect() for v in row})
     # There are at most rows / hot_rows hot groups.
     sketch = (
-        data.join(bounded_broadcast(hot.select(*keys).distinct()), list(keys), "left_semi")
+        join_small(data, hot.select(*keys).distinct(), keys, "left_semi")
         .groupBy(*keys)
         .agg(
             F.percentile_approx(
@@ -172,7 +172,7 @@ def _bracketed(
     )
     brackets = cut_lineage(brackets, "brackets")
     limits = narrow.join(brackets, [*keys, "slot"], "left")
-    joined = data.join(bounded_broadcast(limits), list(keys))
+    joined = join_small(data, limits, keys)
     below = F.col("_a").isNotNull() & (F.col("_v") < F.col("_a"))
     return (
         joined.where(F.col("_b").isNull() | (F.col("_v") <= F.col("_b")))

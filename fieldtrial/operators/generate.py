@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import hash_int, hash_normal, hash_u, py_normal, py_u_open
 from ..functions.vectors import clip, from_unit, matrix
-from ..session import bounded_broadcast
+from ..session import join_small
 from .exact import hash_row_number
 
 CHUNK = 100_000
@@ -102,7 +102,7 @@ def latin_hypercube(
     ranked = hash_row_number(spread, [*keys, "dim"], "_h", [point], "_rank")
     total = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     jitter = hash_u(str(seed), "jitter", *key_cols(keys), F.col(point), F.col("dim"))
-    placed = ranked.join(bounded_broadcast(total), list(keys)).withColumn(
+    placed = join_small(ranked, total, keys).withColumn(
         "_v", (F.col("_rank") - 1 + jitter) / F.col("_total")
     )
     # A point has d rows here.
@@ -117,7 +117,7 @@ def latin_hypercube(
 def scale_points(points: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unit coordinates ``u`` placed in the bounds of their key as ``x``."""
     return (
-        points.join(bounded_broadcast(limits), list(keys))
+        join_small(points, limits, keys)
         .withColumn("x", from_unit(F.col("u"), F.col("low"), F.col("high")))
         .drop("u", "low", "high")
     )
@@ -196,7 +196,7 @@ def hide_split(
     small = targets.join(sizes, list(keys)).withColumn(
         "_others", F.floor(F.col("_n") * F.lit(fraction)) - 1
     )
-    marked = pool.join(bounded_broadcast(small), list(keys)).withColumn(
+    marked = join_small(pool, small, keys).withColumn(
         "is_target", F.col(point) == F.col("target_id")
     )
     hashed = marked.withColumn("_h", hash_int(str(seed), *key_cols(keys), F.col(point)))

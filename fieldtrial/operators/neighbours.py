@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import matrix, unit_scale
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage, join_small
 
 QUERY_TILE = 4096
 BASE_TILE = 32768
@@ -70,21 +70,19 @@ def _tiles(
     q: DataFrame, b: DataFrame, k: int, ks: Sequence[str], base_tile: int, sizes: DataFrame
 ) -> DataFrame:
     """Top k per query and tile; the query and base blocks of a key form a grid."""
-    grid = bounded_broadcast(
-        sizes.select(
-            *ks,
-            F.ceil(F.col("_n") / base_tile).cast("int").alias("_nb"),
-            F.ceil(F.col("_nq") / QUERY_TILE).cast("int").alias("_nq"),
-        )
+    grid = sizes.select(
+        *ks,
+        F.ceil(F.col("_n") / base_tile).cast("int").alias("_nb"),
+        F.ceil(F.col("_nq") / QUERY_TILE).cast("int").alias("_nq"),
     )
     mine = F.pmod(F.xxhash64("_q"), F.col("_nq")).cast("int")
     theirs = F.pmod(F.xxhash64("_b"), F.col("_nb")).cast("int")
-    qs = q.join(grid, list(ks)).select(
+    qs = join_small(q, grid, ks, computed=True).select(
         *ks, "_q", "_qx", mine.alias("_tq"),
         F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_tb"),
     )
     # Both sides may stem from one table, so the base keys get names of their own.
-    bs = b.join(grid, list(ks)).select(
+    bs = join_small(b, grid, ks, computed=True).select(
         *[F.col(c).alias(f"_of_{c}") for c in ks], "_b", "_bx", theirs.alias("_sb"),
         F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_sq"),
     )
@@ -140,7 +138,7 @@ def _cells(
     chosen = (
         hashed.withColumn("_r", first)
         .where(F.col("_r") <= MAX_CELLS)
-        .join(bounded_broadcast(sizes.select(*ks, count.alias("_m"))), list(ks))
+        .transform(join_small, sizes.select(*ks, count.alias("_m")), ks, computed=True)
         .where(F.col("_r") <= F.col("_m"))
     )
     # At most MAX_CELLS pivots per key.
@@ -150,12 +148,11 @@ def _cells(
         ).select(*ks, F.col("_p.p").alias("_p")),
         "pivots",
     )
-    pivots = bounded_broadcast(pivots)
     home = _nearest_pivot()
-    bc = b.join(pivots, list(ks)).withColumn("_a", home("_bx", "_p")).select(
+    bc = join_small(b, pivots, ks, computed=True).withColumn("_a", home("_bx", "_p")).select(
         *ks, "_b", "_bx", F.col("_a.cell").alias("_cell"), F.col("_a.distance").alias("_far")
     )
-    qc = q.join(pivots, list(ks)).withColumn("_a", home("_qx", "_p")).select(
+    qc = join_small(q, pivots, ks, computed=True).withColumn("_a", home("_qx", "_p")).select(
         *ks, "_q", "_qx", F.col("_a.cell").alias("_cell")
     )
     cell = [*ks, "_cell"]
@@ -166,16 +163,13 @@ def _cells(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_r")
     )
     radius = bc.groupBy(*cell).agg(F.max("_far").alias("_far"))
-    shape = bounded_broadcast(
-        radius.groupBy(*ks).agg(
-            F.array_sort(F.collect_list(F.struct("_cell", "_far"))).alias("_cells")
-        )
+    shape = radius.groupBy(*ks).agg(
+        F.array_sort(F.collect_list(F.struct("_cell", "_far"))).alias("_cells")
     )
+    places = cut_lineage(pivots.join(shape, list(ks)), "places")
     visit = _reachable()
     again = (
-        qc.join(reach, [*ks, "_q"], "left")
-        .join(pivots, list(ks))
-        .join(shape, list(ks))
+        join_small(qc.join(reach, [*ks, "_q"], "left"), places, ks, computed=True)
         .withColumn(
             "_to", visit("_qx", "_p", "_r", F.col("_cells._cell"), F.col("_cells._far"))
         )
@@ -277,7 +271,7 @@ def drop_evaluated(
     def keyed(df: DataFrame) -> DataFrame:
         unit = unit_scale(F.col("x"), F.col("low"), F.col("high"))
         rounded = F.transform(unit, lambda v: F.round(v, decimals) + F.lit(0.0))
-        return df.join(bounded_broadcast(limits), list(keys)).withColumn("_u", rounded)
+        return join_small(df, limits, keys).withColumn("_u", rounded)
 
     seen = keyed(history).select(*keys, "_u").distinct()
     return keyed(candidates).join(seen, [*keys, "_u"], "left_anti").drop("_u", "low", "high")

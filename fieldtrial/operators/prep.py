@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit_scale
-from ..session import bounded_broadcast
+from ..session import join_small
 from ..sources.catalog import DatasetSpec
 
 
@@ -87,7 +87,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, keys: Sequence[str] = ()) ->
 def _with_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach per-key parameters; without keys ``small`` is one row."""
     if keys:
-        return df.join(bounded_broadcast(small), list(keys))
+        return join_small(df, small, keys)
     one = F.broadcast(small.limit(1).withColumn("_one", F.lit(1)))
     return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
 
@@ -167,7 +167,7 @@ def category_table(spark, categories=CATEGORIES) -> DataFrame:
 
 def with_category(df: DataFrame, table: DataFrame) -> DataFrame:
     """Category and display order; an unknown optimizer comes last."""
-    return df.join(bounded_broadcast(table), "optimizer", "left").withColumn(
+    return join_small(df, table, "optimizer", "left").withColumn(
         "display_order", F.coalesce("display_order", F.lit(UNKNOWN_ORDER))
     )
 
@@ -187,7 +187,7 @@ STEP_CAPS = {"RANDOM": 100_000, "DE_DIRECT": 100_000}
 
 def apply_step_cap(df: DataFrame, caps: DataFrame) -> DataFrame:
     """Limit the steps per optimizer and mark runs that reach the limit."""
-    joined = df.join(bounded_broadcast(caps), "optimizer", "left")
+    joined = join_small(df, caps, "optimizer", "left")
     steps = F.least(F.col("steps_to_target"), F.col("max_steps"))
     return joined.withColumn("steps_to_target", steps).withColumn(
         "max_steps_capped",

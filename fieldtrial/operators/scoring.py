@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import py_normal
 from ..functions.special import norm_cdf, norm_pdf
 from ..functions.vectors import matrix, sqdist, times_matrix
-from ..session import bounded_broadcast
+from ..session import join_small
 from .exact import HOT_ROWS, agg_with_quantiles
 from .neighbours import knn
 
@@ -67,7 +67,7 @@ def mad_sigma(
     data = df if ks else df.withColumn("_all", F.lit(0))
     by = ks or ["_all"]
     middle = agg_with_quantiles(data, by, value, {"_med": 0.5}, (), hot_rows)
-    away = data.join(bounded_broadcast(middle), by).withColumn(
+    away = join_small(data, middle, by).withColumn(
         "_dev", F.abs(F.col(value) - F.col("_med"))
     )
     spread = agg_with_quantiles(away, by, "_dev", {"_mad": 0.5}, (), hot_rows)
@@ -97,7 +97,7 @@ def local_noise(
     )
     sigma = mad_sigma(observed, keys, value)
     if keys:
-        joined = local.join(bounded_broadcast(sigma), list(keys))
+        joined = join_small(local, sigma, keys)
     else:
         one = F.broadcast(sigma.limit(1).withColumn("_one", F.lit(1)))
         joined = local.withColumn("_one", F.lit(1)).join(one, "_one")
@@ -117,7 +117,7 @@ def feature_relevance(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     top = per.groupBy(*keys).agg(F.max("_v").alias("_top"))
     if keys:
-        both = per.join(bounded_broadcast(top), list(keys))
+        both = join_small(per, top, keys)
     else:
         both = per.withColumn("_one", F.lit(1)).join(
             F.broadcast(top.withColumn("_one", F.lit(1))), "_one"
@@ -160,8 +160,8 @@ def trust_region(
     that holds none either. ``radius`` has the keys and ``radius``.
     """
     centre = observed.groupBy(*keys).agg(F.max_by("x", "y").alias("_centre"))
-    state = bounded_broadcast(centre.join(radius, list(keys)))
-    placed = candidates.join(state, list(keys)).withColumn(
+    state = centre.join(radius, list(keys))
+    placed = join_small(candidates, state, keys).withColumn(
         "distance", F.sqrt(sqdist(F.col("x"), F.col("_centre")))
     )
     inside = F.count(F.when(F.col("distance") <= F.col("radius"), 1))
@@ -170,7 +170,7 @@ def trust_region(
         F.when(inside > 0, F.lit(1.0)).when(wide > 0, F.lit(1.5)).alias("_factor")
     )
     return (
-        placed.join(bounded_broadcast(level), list(keys))
+        join_small(placed, level, keys)
         .where(
             F.col("_factor").isNull() | (F.col("distance") <= F.col("radius") * F.col("_factor"))
         )
@@ -285,7 +285,7 @@ def d_optimal(
     small = info.select(*keys, inverse("xtx").alias("_inv"))
     return (
         with_one(candidates)
-        .join(bounded_broadcast(small), list(keys))
+        .transform(join_small, small, list(keys))
         .withColumn("score", leverage("_v", "_inv"))
         .drop("_v", "_inv")
     )

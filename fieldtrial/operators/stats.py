@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import join_small
 from .exact import HOT_ROWS, agg_with_quantiles, finite
 
 
@@ -97,7 +98,7 @@ def htl_combined(pool_stats: DataFrame) -> DataFrame:
         _weighted("mean_steps").alias("_m"), _weighted("mean_final_best").alias("_f")
     )
     # Centred second moments avoid cancellation.
-    spread = pool_stats.join(mean, "optimizer")
+    spread = join_small(pool_stats, mean, "optimizer")
     w = F.col("n_competitions")
     return spread.groupBy("optimizer").agg(
         _weighted("mean_steps").alias("mean_steps"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.generate import target_points
 from ..operators.selection import hidden_points, select_batch
-from ..session import bounded_broadcast, cut_lineage, scratch_path
+from ..session import cut_lineage, join_small, scratch_path
 
 # A scorer takes (hidden rows, observed rows) and returns the hidden rows with a ``score``.
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
@@ -31,8 +31,8 @@ def al_round(
     """
     at = [*keys, point]
     goal = targets.select(*keys, F.col("target_id").alias(point))
-    finished = bounded_broadcast(revealed.join(goal, at, "left_semi").select(*keys).distinct())
-    open_pool = pool.join(finished, list(keys), "left_anti")
+    finished = revealed.join(goal, at, "left_semi").select(*keys).distinct()
+    open_pool = join_small(pool, finished, keys, "left_anti")
     observed = open_pool.join(revealed.select(*at), at, "left_semi")
     hidden = hidden_points(open_pool, revealed, keys, point)
     best = observed.groupBy(*keys).agg(F.max("y").alias("current_best"))
@@ -88,7 +88,7 @@ def outcomes(history: DataFrame, pool: DataFrame, keys: Sequence[str], point: st
     targets = target_points(pool, keys, point)
     hit = F.col(point) == F.col("target_id")
     return (
-        history.join(bounded_broadcast(targets), list(keys))
+        join_small(history, targets, keys)
         .groupBy(*keys)
         .agg(
             (F.max("step") + 1).alias("steps_to_target"),

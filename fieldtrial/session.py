@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 # A side with at most this many rows may be broadcast.
 BROADCAST_ROWS = 200_000
+# A key with more rows than this is not left to one task.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -63,11 +66,33 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count shows at most ``max_rows`` rows.
-
-    The side is computed once into the shared folder and counted there. A larger side is returned
-    without a hint and is joined by shuffle.
+def join_small(
+    df: DataFrame,
+    small: DataFrame,
+    keys,
+    how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+    computed: bool = False,
+) -> DataFrame:
+    """Join rows with per-key values, without ever sending a hot key to one task.
+
+    ``small`` is computed once into the shared folder (``computed`` says it already is) and counted
+    there; up to ``max_rows`` rows it is broadcast. A larger side is joined by shuffle, except for
+    the keys that hold more than ``hot_rows`` rows and a ten-thousandth of ``df``: there are at
+    most ``MAX_HOT_KEYS`` of them, and their values are broadcast.
     """
-    side = cut_lineage(df, "side")
-    return F.broadcast(side) if side.count() <= max_rows else side
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    side = small if computed else cut_lineage(small, "side")
+    if side.count() <= max_rows:
+        return df.join(F.broadcast(side), keys, how)
+    limit = max(hot_rows, df.count() // MAX_HOT_KEYS)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.where(F.col("_n") > limit).select(*keys), "hot")
+    if hot.isEmpty():
+        return df.join(side, keys, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(side.join(hot, keys, "left_semi"))
+    crowded = df.join(hot, keys, "left_semi").join(few, keys, how)
+    rest = df.join(hot, keys, "left_anti").join(side, keys, how)
+    return crowded.unionByName(rest)

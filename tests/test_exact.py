@@ -76,3 +76,15 @@ def test_running_values_do_not_depend_on_the_block(spark, block_size, current):
             top, acc = top.shift(), acc.shift()
         np.testing.assert_allclose(mine["m"].to_numpy(float), top.to_numpy())
         np.testing.assert_allclose(mine["s"].to_numpy(float), acc.to_numpy())
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_small_side_join_is_the_same_on_every_path(spark, how):
+    from fieldtrial.session import join_small
+
+    rows = [("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(10)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    small = spark.createDataFrame([("hot", 1.0), ("k1", 2.0), ("k2", 3.0)], "k string, w double")
+    expected = sorted(df.join(small, ["k"], how).collect(), key=str)
+    for limits in ({}, {"max_rows": 1}, {"max_rows": 1, "hot_rows": 5}):
+        assert sorted(join_small(df, small, "k", how, **limits).collect(), key=str) == expected
