@@ -15,7 +15,15 @@ from ..functions.hashing import py_u_open
 from ..functions.special import beta_quantile, chi2_sf
 from ..session import cut_lineage
 from .exact import HOT_ROWS, agg_with_quantiles, order_statistics
-from .stats import dataset_level, instance_means, rank_optimizers, summary_stats, with_average_rank
+from .stats import (
+    dataset_level,
+    instance_means,
+    optimizer_names,
+    rank_optimizers,
+    ranked_values,
+    summary_stats,
+    wide_instances,
+)
 
 PAIR = ["optimizer_a", "optimizer_b"]
 HASH_BITS = 128  # bits of one md5 value
@@ -24,20 +32,17 @@ INVERSE_ROWS = 20_000
 
 def complete_blocks(df: DataFrame, metric: str) -> DataFrame:
     """Instances that hold a value for every optimizer, in long form."""
-    means = instance_means(df, metric).where(F.col("value").isNotNull())
-    everyone = means.agg(F.countDistinct("optimizer")).scalar()
-    present = F.count(F.lit(1)).over(W.partitionBy("instance"))
-    return means.withColumn("_n", present).where(F.col("_n") == everyone).drop("_n")
+    return ranked_values(df, metric, complete=True).select("instance", "optimizer", "value")
 
 
 def friedman(df: DataFrame, metric: str) -> DataFrame:
     """Friedman chi-square with tie correction; null below 2 blocks or 3 treatments."""
-    ranked = with_average_rank(complete_blocks(df, metric))
+    ranked = ranked_values(df, metric, complete=True)
     sums = ranked.groupBy("optimizer").agg(
         F.sum("rank").alias("r"),
         F.count(F.lit(1)).alias("n"),
         # A tie group of t rows adds t * (t * t - 1) in total.
-        F.sum(F.col("_same") * F.col("_same") - 1).alias("ties"),
+        F.sum(F.col("same") * F.col("same") - 1).alias("ties"),
     )
     one = sums.agg(
         F.coalesce(F.max("n"), F.lit(0)).alias("n_blocks"),
@@ -67,12 +72,36 @@ def friedman_verdict(result: DataFrame) -> DataFrame:
 def pair_diffs(df: DataFrame, metric: str) -> DataFrame:
     """Difference a - b on every common instance, for each pair with a before b by name.
 
-    An instance holds one row per optimizer here, so the join yields k * (k - 1) / 2 rows for k
-    optimizers whatever the size of the input group.
+    An instance yields k * (k - 1) / 2 rows for k optimizers whatever the size of the input group.
     """
-    a = instance_means(df, metric)
-    left = a.select("instance", F.col("optimizer").alias("optimizer_a"), F.col("value").alias("va"))
-    right = a.select(
+    names = optimizer_names(df)
+    if names is None:
+        return _joined_diffs(instance_means(df, metric))
+    if not names:
+        names = [""]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    listed = [
+        F.struct(
+            F.lit(names[i]).alias("optimizer_a"), F.lit(names[j]).alias("optimizer_b"),
+            F.lit(i).alias("i"), F.lit(j).alias("j"),
+        )
+        for i, j in pairs or [(0, 0)]
+    ]
+    wide = wide_instances(df, metric, names)
+    both = wide.select("*", F.explode(F.array(*listed)).alias("p")).where(
+        F.get("present", F.col("p.i")) & F.get("present", F.col("p.j"))
+        & (F.col("p.i") < F.col("p.j"))
+    )
+    diff = F.get("values", F.col("p.i")) - F.get("values", F.col("p.j"))
+    return both.select("p.optimizer_a", "p.optimizer_b", "instance", diff.alias("diff"))
+
+
+def _joined_diffs(means: DataFrame) -> DataFrame:
+    """The same by a join on the instance, for many optimizers."""
+    left = means.select(
+        "instance", F.col("optimizer").alias("optimizer_a"), F.col("value").alias("va")
+    )
+    right = means.select(
         F.col("instance").alias("_i"), F.col("optimizer").alias("optimizer_b"),
         F.col("value").alias("vb"),
     )

@@ -16,6 +16,10 @@ from ..session import join_small
 from .exact import HOT_ROWS, agg_with_quantiles, finite
 
 
+# Optimizers ranked and paired inside one row.
+MAX_WIDE = 32
+
+
 def _clean(df: DataFrame, *metrics: str) -> DataFrame:
     for m in metrics:
         if dict(df.dtypes)[m] in ("double", "float"):
@@ -266,20 +270,81 @@ def instance_means(df: DataFrame, metric: str) -> DataFrame:
     )
 
 
-def with_average_rank(df: DataFrame, ascending: bool = True) -> DataFrame:
-    """Rank of ``value`` inside each instance; equal values share their mean rank."""
+def optimizer_names(df: DataFrame) -> list[str] | None:
+    """Sorted optimizer names, or None when there are more than ``MAX_WIDE``."""
+    rows = df.select("optimizer").where(F.col("optimizer").isNotNull()).distinct()
+    names = [r["optimizer"] for r in rows.limit(MAX_WIDE + 1).collect()]
+    return sorted(names) if len(names) <= MAX_WIDE else None
+
+
+def wide_instances(df: DataFrame, metric: str, names: Sequence[str]) -> DataFrame:
+    """One row per instance: mean values and presence flags in the order of ``names``.
+
+    One aggregation with partial sums in the map tasks; ranks and pairs are then taken within the
+    row, without a sort, a window or a self-join.
+    """
+    data = _clean(df, metric)
+    here = [F.col("optimizer") == n for n in names]
+    return data.groupBy("instance").agg(
+        F.array(*[F.avg(F.when(h, F.col(metric))) for h in here]).alias("values"),
+        F.array(*[F.count(F.when(h, 1)) > 0 for h in here]).alias("present"),
+    )
+
+
+def _with_value(df: DataFrame, metric: str) -> DataFrame:
+    return _clean(df, metric).where(F.col(metric).isNotNull())
+
+
+def ranked_values(
+    df: DataFrame, metric: str, ascending: bool = True, complete: bool = False
+) -> DataFrame:
+    """Value, average rank and number of equal values per instance and optimizer.
+
+    ``complete`` keeps only instances that hold every optimizer. A handful of optimizers is ranked
+    inside one row per instance; a larger set by windows.
+    """
+    data = _with_value(df, metric)
+    names = optimizer_names(data)
+    if names is None:
+        means = instance_means(data, metric).where(F.col("value").isNotNull())
+        if complete:
+            everyone = means.agg(F.countDistinct("optimizer")).scalar()
+            present = F.count(F.lit(1)).over(W.partitionBy("instance"))
+            means = means.withColumn("_n", present).where(F.col("_n") == everyone).drop("_n")
+        return _window_ranks(means, ascending)
+    if not names:
+        return instance_means(data, metric).select(
+            "*", F.lit(0.0).alias("rank"), F.lit(0).cast("bigint").alias("same")
+        )
+    wide = wide_instances(data, metric, names)
+    if complete:
+        wide = wide.where(~F.exists("values", lambda v: v.isNull()))
+    labelled = F.arrays_zip(
+        F.array(*[F.lit(n) for n in names]).alias("optimizer"), F.col("values").alias("value")
+    )
+    each = wide.select("instance", "values", F.inline(labelled)).where(F.col("value").isNotNull())
+    v = F.col("value")
+    ahead = F.filter("values", (lambda w: w < v) if ascending else (lambda w: w > v))
+    same = F.size(F.filter("values", lambda w: w == v)).cast("bigint")
+    return (
+        each.withColumn("same", same)
+        .withColumn("rank", 1 + F.size(ahead) + (F.col("same") - 1) / F.lit(2.0))
+        .select("instance", "optimizer", "value", "rank", "same")
+    )
+
+
+def _window_ranks(means: DataFrame, ascending: bool) -> DataFrame:
     order = F.col("value").asc() if ascending else F.col("value").desc()
     first = F.rank().over(W.partitionBy("instance").orderBy(order))
     same = F.count(F.lit(1)).over(W.partitionBy("instance", "value"))
-    return df.withColumn("_same", same).withColumn(
-        "rank", first + (F.col("_same") - 1) / F.lit(2.0)
+    return means.withColumn("same", same).withColumn(
+        "rank", first + (F.col("same") - 1) / F.lit(2.0)
     )
 
 
 def instance_ranks(df: DataFrame, metric: str, ascending: bool = True) -> DataFrame:
-    """Rank optimizers within an instance; nulls stay unranked."""
-    means = instance_means(df, metric).where(F.col("value").isNotNull())
-    return with_average_rank(means, ascending).select("instance", "optimizer", "value", "rank")
+    """Rank optimizers within an instance; equal values share their rank, nulls stay unranked."""
+    return ranked_values(df, metric, ascending).select("instance", "optimizer", "value", "rank")
 
 
 def rank_optimizers(df: DataFrame, metric: str, ascending: bool = True) -> DataFrame:

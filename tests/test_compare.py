@@ -144,3 +144,23 @@ def test_constant_prediction_scores(spark):
     assert row["mse"] == 1.0 and row["r2"] == 0.0
     flat = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "y double, p double")
     assert stats.regression_fit(flat, "y", "p").first()["mse"] == 0.0
+
+
+def test_wide_and_long_paths_agree(spark, monkeypatch):
+    df = frame(spark, {**TABLE, ("i4", "c"): None, ("i5", "a"): 2, ("i5", "c"): 2}).unionByName(
+        frame(spark, {("i1", "a"): 5})
+    )
+
+    def everything():
+        return [
+            sorted(map(tuple, part.collect()), key=str)
+            for part in (
+                stats.instance_ranks(df, "m"), stats.instance_ranks(df, "m", False),
+                compare.complete_blocks(df, "m"), compare.friedman(df, "m"), compare.pair_diffs(df, "m"),
+                stats.rank_optimizers(df, "m"),
+            )
+        ]
+
+    wide = everything()
+    monkeypatch.setattr(stats, "MAX_WIDE", 1)
+    assert everything() == wide
