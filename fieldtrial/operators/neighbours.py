@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from ..functions.vectors import matrix, unit_scale
 from ..session import cut_lineage, join_small
 
-QUERY_TILE = 4096
-BASE_TILE = 32768
+# Largest blocks of a tile, and the distances a task should at least have before a block is split.
+QUERY_TILE = 65536
+BASE_TILE = 65536
+TASK_WORK = 20_000_000
 MAX_CELLS = 256
 
 
@@ -66,42 +68,62 @@ def _best(found: DataFrame, k: int, ks: Sequence[str]) -> DataFrame:
     return found.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k)
 
 
-def _tiles(
-    q: DataFrame, b: DataFrame, k: int, ks: Sequence[str], base_tile: int, sizes: DataFrame
+def _grid(
+    q: DataFrame, b: DataFrame, ks: Sequence[str], sizes: DataFrame, base_tile: int, fn, fields
 ) -> DataFrame:
-    """Top k per query and tile; the query and base blocks of a key form a grid."""
+    """Apply ``fn(queries, base rows)`` to every tile of a key.
+
+    The query and base blocks of a key form a grid: a query row is copied to each base block and a
+    base row to each query block.
+    """
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.least(F.lit(tasks), F.ceil(F.col("_n") * F.col("_nq") / TASK_WORK))
     grid = sizes.select(
         *ks,
         F.ceil(F.col("_n") / base_tile).cast("int").alias("_nb"),
-        F.ceil(F.col("_nq") / QUERY_TILE).cast("int").alias("_nq"),
+        F.greatest(F.ceil(F.col("_nq") / QUERY_TILE), spread).cast("int").alias("_nq"),
     )
     mine = F.pmod(F.xxhash64("_q"), F.col("_nq")).cast("int")
     theirs = F.pmod(F.xxhash64("_b"), F.col("_nb")).cast("int")
+    q_cols, b_cols = ([c for c in side.columns if c not in ks] for side in (q, b))
     qs = join_small(q, grid, ks, computed=True).select(
-        *ks, "_q", "_qx", mine.alias("_tq"),
+        *ks, *q_cols, mine.alias("_tq"),
         F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_tb"),
     )
     # Both sides may stem from one table, so the base keys get names of their own.
     bs = join_small(b, grid, ks, computed=True).select(
-        *[F.col(c).alias(f"_of_{c}") for c in ks], "_b", "_bx", theirs.alias("_sb"),
+        *[F.col(c).alias(f"_of_{c}") for c in ks], *b_cols, theirs.alias("_sb"),
         F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_sq"),
     )
-    left_tile = [*ks, "_tq", "_tb"]
-    right_tile = [*[f"_of_{c}" for c in ks], "_sq", "_sb"]
-    key_fields = [q.schema[c] for c in ks]
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("_q", q.schema["_q"].dataType),
-            T.StructField("_b", b.schema["_b"].dataType),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
+    schema = T.StructType([*[q.schema[c] for c in ks], *fields])
     names = [f.name for f in schema]
+    own = [f.name for f in fields]
 
-    def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({n: [] for n in names})
+        out = fn(left, right)
+        rows = pd.DataFrame({n: v for n, v in zip(ks, key)}, index=range(len(out)))
+        for n in own:
+            rows[n] = out[n].to_numpy()
+        return rows[names]
+
+    left_tile = [*ks, "_tq", "_tb"]
+    right_tile = [*[f"_of_{c}" for c in ks], "_sq", "_sb"]
+    return qs.groupBy(*left_tile).cogroup(bs.groupBy(*right_tile)).applyInPandas(tile, schema)
+
+
+def _tiles(
+    q: DataFrame, b: DataFrame, k: int, ks: Sequence[str], base_tile: int, sizes: DataFrame
+) -> DataFrame:
+    """Top k per query and tile."""
+    fields = [
+        T.StructField("_q", q.schema["_q"].dataType),
+        T.StructField("_b", b.schema["_b"].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ]
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         qx, bx = matrix(left["_qx"]), matrix(right["_bx"])
         qid, bid = left["_q"].to_numpy(), right["_b"].to_numpy()
         keep = min(k, len(bid))
@@ -119,14 +141,62 @@ def _tiles(
                 out_q.append(np.repeat(qid[at + i], len(first)))
                 out_b.append(bid[near[first]])
                 out_d.append(d[first])
-        out = pd.DataFrame({n: v for n, v in zip(ks, key)}, index=range(sum(map(len, out_q))))
-        out["_q"], out["_b"] = np.concatenate(out_q), np.concatenate(out_b)
-        out["distance"] = np.concatenate(out_d)
-        return out[names]
+        return pd.DataFrame(
+            {"_q": np.concatenate(out_q), "_b": np.concatenate(out_b), "distance": np.concatenate(out_d)}
+        )
+
+    return _grid(q, b, ks, sizes, base_tile, nearest, fields)
 
-    return (
-        qs.groupBy(*left_tile).cogroup(bs.groupBy(*right_tile)).applyInPandas(nearest, schema)
-    )
+
+def _assigned(rows: DataFrame, pivots: DataFrame, ks: Sequence[str], base_tile: int) -> DataFrame:
+    """Query-shaped rows with their nearest pivot ``_cell`` and the distance ``_far`` to it."""
+    fields = [
+        rows.schema["_q"],
+        T.StructField("_qx", T.ArrayType(T.DoubleType())),
+        T.StructField("_cell", T.LongType()),
+        T.StructField("_far", T.DoubleType()),
+    ]
+
+    def home(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("_b")
+        p, cell = matrix(right["_bx"]), right["_b"].to_numpy()
+        best, far = [], []
+        for v in left["_qx"]:
+            d = ((p - v) ** 2).sum(1)
+            i = int(d.argmin())
+            best.append(cell[i])
+            far.append(np.sqrt(d[i]))
+        return pd.DataFrame({"_q": left["_q"], "_qx": left["_qx"], "_cell": best, "_far": far})
+
+    return _grid(rows, pivots, ks, _sizes(rows, pivots, ks), base_tile, home, fields)
+
+
+def _visits(
+    queries: DataFrame, cells: DataFrame, ks: Sequence[str], base_tile: int
+) -> DataFrame:
+    """Other cells a query must search: pivot distance minus cell radius within its reach ``_r``."""
+    fields = [
+        queries.schema["_q"],
+        T.StructField("_qx", T.ArrayType(T.DoubleType())),
+        T.StructField("_cell", T.LongType()),
+    ]
+
+    def reachable(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        p, cell = matrix(right["_bx"]), right["_b"].to_numpy()
+        far = right["_far"].to_numpy(float)
+        ids, places, to = [], [], []
+        for q, v, own, r in zip(left["_q"], left["_qx"], left["_cell"], left["_r"]):
+            reach = np.inf if r is None or np.isnan(r) else r * (1 + 1e-9) + 1e-12
+            hit = cell[(np.sqrt(((p - v) ** 2).sum(1)) - far <= reach) & (cell != own)]
+            ids += [q] * len(hit)
+            places += [v] * len(hit)
+            to += hit.tolist()
+        out = pd.DataFrame({"_q": np.array(ids, dtype=left["_q"].dtype)})
+        out["_qx"] = pd.Series(places, dtype=object)
+        out["_cell"] = np.array(to, dtype=np.int64)
+        return out
+
+    return _grid(queries, cells, ks, _sizes(queries, cells, ks), base_tile, reachable, fields)
 
 
 def _cells(
@@ -135,91 +205,33 @@ def _cells(
     count = F.least(F.ceil(F.col("_n") / base_tile), F.lit(MAX_CELLS)).cast("int")
     hashed = b.withColumn("_h", F.xxhash64(F.lit("pivot"), "_b"))
     first = F.row_number().over(W.partitionBy(*ks).orderBy("_h", "_b"))
-    chosen = (
-        hashed.withColumn("_r", first)
-        .where(F.col("_r") <= MAX_CELLS)
-        .transform(join_small, sizes.select(*ks, count.alias("_m")), ks, computed=True)
-        .where(F.col("_r") <= F.col("_m"))
-    )
-    # At most MAX_CELLS pivots per key.
+    chosen = hashed.withColumn("_r", first).where(F.col("_r") <= MAX_CELLS)
+    # At most MAX_CELLS pivots per key, numbered from 1.
     pivots = cut_lineage(
-        chosen.groupBy(*ks).agg(
-            F.array_sort(F.collect_list(F.struct("_r", F.col("_bx").alias("p")))).alias("_p")
-        ).select(*ks, F.col("_p.p").alias("_p")),
+        join_small(chosen, sizes.select(*ks, count.alias("_m")), ks)
+        .where(F.col("_r") <= F.col("_m"))
+        .select(*ks, F.col("_r").cast("long").alias("_b"), "_bx"),
         "pivots",
     )
-    home = _nearest_pivot()
-    bc = join_small(b, pivots, ks, computed=True).withColumn("_a", home("_bx", "_p")).select(
-        *ks, "_b", "_bx", F.col("_a.cell").alias("_cell"), F.col("_a.distance").alias("_far")
-    )
-    qc = join_small(q, pivots, ks, computed=True).withColumn("_a", home("_qx", "_p")).select(
-        *ks, "_q", "_qx", F.col("_a.cell").alias("_cell")
-    )
+    as_query = b.select(*ks, F.col("_b").alias("_q"), F.col("_bx").alias("_qx"))
+    placed = cut_lineage(_assigned(as_query, pivots, ks, base_tile), "placed")
+    bc = placed.select(*ks, F.col("_q").alias("_b"), F.col("_qx").alias("_bx"), "_cell")
+    qc = cut_lineage(_assigned(q, pivots, ks, base_tile).drop("_far"), "home")
     cell = [*ks, "_cell"]
-    rows = bc.drop("_far")
-    home_sizes = _sizes(qc, rows, cell)
-    near = cut_lineage(_best(_tiles(qc, rows, k, cell, base_tile, home_sizes), k, ks), "near")
+    near = _best(_tiles(qc, bc, k, cell, base_tile, _sizes(qc, bc, cell)), k, ks)
+    near = cut_lineage(near.drop("nn"), "near")
     reach = near.groupBy(*ks, "_q").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_r")
     )
-    radius = bc.groupBy(*cell).agg(F.max("_far").alias("_far"))
-    shape = radius.groupBy(*ks).agg(
-        F.array_sort(F.collect_list(F.struct("_cell", "_far"))).alias("_cells")
+    radius = placed.groupBy(*cell).agg(F.max("_far").alias("_far"))
+    cells = cut_lineage(
+        pivots.join(radius.withColumnRenamed("_cell", "_b"), [*ks, "_b"]), "cells"
     )
-    places = cut_lineage(pivots.join(shape, list(ks)), "places")
-    visit = _reachable()
-    again = (
-        join_small(qc.join(reach, [*ks, "_q"], "left"), places, ks, computed=True)
-        .withColumn(
-            "_to", visit("_qx", "_p", "_r", F.col("_cells._cell"), F.col("_cells._far"))
-        )
-        .select(*ks, "_q", "_qx", F.col("_cell").alias("_home"), F.explode("_to").alias("_cell"))
-        .where(F.col("_cell") != F.col("_home"))
-        .drop("_home")
-    )
-    again = cut_lineage(again, "again")
-    far = _tiles(again, rows, k, cell, base_tile, _sizes(again, rows, cell))
-    return near.drop("nn", "_cell").unionByName(far.drop("_cell"))
-
-
-def _pivot_matrix(p) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in p])
-
-
-def _nearest_pivot():
-    @F.pandas_udf(
-        T.StructType(
-            [T.StructField("cell", T.IntegerType()), T.StructField("distance", T.DoubleType())]
-        )
+    again = cut_lineage(
+        _visits(qc.join(reach, [*ks, "_q"], "left"), cells, ks, base_tile), "again"
     )
-    def nearest(x: pd.Series, pivots: pd.Series) -> pd.DataFrame:
-        cells, dist = [], []
-        for v, p in zip(x, pivots):
-            d = np.sqrt(((_pivot_matrix(p) - v) ** 2).sum(1))
-            c = int(d.argmin())
-            cells.append(c)
-            dist.append(d[c])
-        return pd.DataFrame({"cell": cells, "distance": dist})
-
-    return nearest
-
-
-def _reachable():
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells(
-        x: pd.Series, pivots: pd.Series, reach: pd.Series, cell: pd.Series, far: pd.Series
-    ) -> pd.Series:
-        out = []
-        for v, p, r, c, f in zip(x, pivots, reach, cell, far):
-            c = np.asarray(c, dtype=int)
-            if r is None or np.isnan(r):
-                out.append(c.tolist())
-                continue
-            d = np.sqrt(((_pivot_matrix(p)[c] - v) ** 2).sum(1))
-            out.append(c[d - np.asarray(f, dtype=float) <= r * (1 + 1e-9) + 1e-12].tolist())
-        return pd.Series(out, dtype=object)
-
-    return cells
+    far = _tiles(again, bc, k, cell, base_tile, _sizes(again, bc, cell))
+    return near.drop("_cell").unionByName(far.drop("_cell"))
 
 
 def match_design(
