@@ -400,28 +400,27 @@ def t5(spark, sf):
     return rounded(compare.median_diff(_diffs(spark, sf)))
 
 
-# The position of a resample median is found by bisection on its exact distribution:
-# P(m-th smallest of n uniform draws <= u) is a binomial tail.
-BOOT = f"""sizes AS (SELECT DISTINCT n_instances AS n FROM medians),
+# The position of a resample median is found by Newton steps on its exact distribution:
+# P(m-th smallest of n uniform draws <= u) is a binomial tail. From the mode they never overshoot.
+BOOT = f"""sizes AS (SELECT DISTINCT n_instances AS n, (n_instances + 1) // 2 AS m FROM medians),
 tail_terms AS (
-  SELECT n, (n + 1) // 2 AS m,
-         list_transform(range((n + 1) // 2, n + 1),
+  SELECT n, m, lgamma(n + 1) - lgamma(m) - lgamma(n - m + 1) AS logd,
+         list_transform(range(m, n + 1),
            lambda j: lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)) AS logc FROM sizes),
 draws AS (
   SELECT r, {s_u_open("'boot'", "r", "'m'")} AS v, {s_u_open("'boot'", "r", "'next'")} AS w
   FROM (SELECT unnest(range(1000)) AS r)),
-bisect AS (
-  SELECT n, r, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM sizes, draws
+newton AS (
+  SELECT n, r, 0 AS i, (m - 1) / (n - 1)::DOUBLE AS u FROM sizes, draws
   UNION ALL
-  SELECT n, r, i + 1, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END,
-         CASE WHEN below THEN hi ELSE (lo + hi) / 2 END
+  SELECT n, r, i + 1, u - (tail - v) / density
   FROM (
-    SELECT b.n, b.r, b.i, b.lo, b.hi,
+    SELECT b.n, b.r, b.i, b.u, d.v,
+           exp(logd + (m - 1) * ln(u) + (b.n - m) * ln(1.0::DOUBLE - u)) AS density,
            list_sum(list_transform(logc, lambda c, k:
-             exp(c + (m + k - 1) * ln((lo + hi) / 2)
-                 + (b.n - (m + k - 1)) * ln(1.0::DOUBLE - (lo + hi) / 2)))) < v AS below
-    FROM bisect b JOIN tail_terms t ON b.n = t.n JOIN draws d ON b.r = d.r WHERE i < 45)),
-solved AS (SELECT n, r, (lo + hi) / 2 AS u FROM bisect WHERE i = 45),
+             exp(c + (m + k - 1) * ln(u) + (b.n - (m + k - 1)) * ln(1.0::DOUBLE - u)))) AS tail
+    FROM newton b JOIN tail_terms t ON b.n = t.n JOIN draws d ON b.r = d.r WHERE i < 14)),
+solved AS (SELECT n, r, u FROM newton WHERE i = 14),
 positions AS (
   SELECT s.n, s.r, least(CAST(floor(s.n * u) AS BIGINT), s.n - 1) AS a,
          least(CAST(floor(s.n * CASE WHEN s.n % 2 = 1 THEN u
