@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import matrix, unit_scale
 from ..session import cut_lineage, join_small
+from .generate import uniform_points
 
 # Largest blocks of a tile, and the distances a task should at least have before a block is split.
 QUERY_TILE = 65536
@@ -46,7 +47,7 @@ def knn(
     if not keys:
         q, b = q.withColumn("_all", F.lit(0)), b.withColumn("_all", F.lit(0))
     ks = list(keys) or ["_all"]
-    sizes = _sizes(q, b, ks)
+    sizes = pair_sizes(q, b, ks)
     if sizes.where(F.col("_n") > base_tile).isEmpty():
         found = _tiles(q, b, k, ks, base_tile, sizes)
     else:
@@ -56,7 +57,7 @@ def knn(
     )
 
 
-def _sizes(q: DataFrame, b: DataFrame, ks: Sequence[str]) -> DataFrame:
+def pair_sizes(q: DataFrame, b: DataFrame, ks: Sequence[str]) -> DataFrame:
     """Base rows ``_n`` and query rows ``_nq`` of every key that has both."""
     nb = b.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
     nq = q.groupBy(*ks).agg(F.count(F.lit(1)).alias("_nq"))
@@ -68,7 +69,7 @@ def _best(found: DataFrame, k: int, ks: Sequence[str]) -> DataFrame:
     return found.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k)
 
 
-def _grid(
+def tile_grid(
     q: DataFrame, b: DataFrame, ks: Sequence[str], sizes: DataFrame, base_tile: int, fn, fields
 ) -> DataFrame:
     """Apply ``fn(queries, base rows)`` to every tile of a key.
@@ -145,7 +146,7 @@ def _tiles(
             {"_q": np.concatenate(out_q), "_b": np.concatenate(out_b), "distance": np.concatenate(out_d)}
         )
 
-    return _grid(q, b, ks, sizes, base_tile, nearest, fields)
+    return tile_grid(q, b, ks, sizes, base_tile, nearest, fields)
 
 
 def _assigned(rows: DataFrame, pivots: DataFrame, ks: Sequence[str], base_tile: int) -> DataFrame:
@@ -168,7 +169,7 @@ def _assigned(rows: DataFrame, pivots: DataFrame, ks: Sequence[str], base_tile:
             far.append(np.sqrt(d[i]))
         return pd.DataFrame({"_q": left["_q"], "_qx": left["_qx"], "_cell": best, "_far": far})
 
-    return _grid(rows, pivots, ks, _sizes(rows, pivots, ks), base_tile, home, fields)
+    return tile_grid(rows, pivots, ks, pair_sizes(rows, pivots, ks), base_tile, home, fields)
 
 
 def _visits(
@@ -196,7 +197,7 @@ def _visits(
         out["_cell"] = np.array(to, dtype=np.int64)
         return out
 
-    return _grid(queries, cells, ks, _sizes(queries, cells, ks), base_tile, reachable, fields)
+    return tile_grid(queries, cells, ks, pair_sizes(queries, cells, ks), base_tile, reachable, fields)
 
 
 def _cells(
@@ -218,7 +219,7 @@ def _cells(
     bc = placed.select(*ks, F.col("_q").alias("_b"), F.col("_qx").alias("_bx"), "_cell")
     qc = cut_lineage(_assigned(q, pivots, ks, base_tile).drop("_far"), "home")
     cell = [*ks, "_cell"]
-    near = _best(_tiles(qc, bc, k, cell, base_tile, _sizes(qc, bc, cell)), k, ks)
+    near = _best(_tiles(qc, bc, k, cell, base_tile, pair_sizes(qc, bc, cell)), k, ks)
     near = cut_lineage(near.drop("nn"), "near")
     reach = near.groupBy(*ks, "_q").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_r")
@@ -230,7 +231,7 @@ def _cells(
     again = cut_lineage(
         _visits(qc.join(reach, [*ks, "_q"], "left"), cells, ks, base_tile), "again"
     )
-    far = _tiles(again, bc, k, cell, base_tile, _sizes(again, bc, cell))
+    far = _tiles(again, bc, k, cell, base_tile, pair_sizes(again, bc, cell))
     return near.drop("_cell").unionByName(far.drop("_cell"))
 
 
@@ -287,3 +288,23 @@ def drop_evaluated(
 
     seen = keyed(history).select(*keys, "_u").distinct()
     return keyed(candidates).join(seen, [*keys, "_u"], "left_anti").drop("_u", "low", "high")
+
+
+def top_up(
+    left: DataFrame,
+    history: DataFrame,
+    limits: DataFrame,
+    keys: Sequence[str],
+    n: int,
+    d: int,
+    seed: int | str,
+    attempts: int = 3,
+) -> DataFrame:
+    """New uniform candidates for keys whose candidates were all evaluated, a few times at most."""
+    for salt in range(1, attempts + 1):
+        empty = cut_lineage(limits.join(left.select(*keys).distinct(), list(keys), "left_anti"))
+        if empty.isEmpty():
+            break
+        extra = uniform_points(empty, keys, F.lit(n), d, f"{seed}|{salt}")
+        left = left.unionByName(drop_evaluated(extra, history, limits, keys))
+    return left

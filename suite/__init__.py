@@ -10,6 +10,7 @@ MODULES = (
     "generation_queries",
     "scoring_queries",
     "curation_queries",
+    "protocol_queries",
 )
 
 
