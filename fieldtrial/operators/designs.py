@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_int
 from ..session import cut_lineage, join_small
 from .exact import hash_row_number
-from .generate import hide_split, key_cols, latin_hypercube, numbered, scale_points
+from .generate import key_cols, latin_hypercube, numbered, scale_points
 
 MAX_FACTORS = 10
 MAX_FRACTION_RUNS = 2000
@@ -215,8 +215,3 @@ def steps_from_order(
         .agg(F.count(F.when(rank <= F.col("_t"), 1)).alias("position"))
         .withColumn("steps_to_target", F.ceil(F.col("position") / size).cast("bigint"))
     )
-
-
-def hidden_pool(pool: DataFrame, keys: Sequence[str], fraction: float, seed: int | str):
-    """Hidden points of a split, the part a design may choose from."""
-    return hide_split(pool, keys, fraction, seed).where("hidden").drop("hidden")

@@ -159,7 +159,9 @@ def trust_region(
     The radius is widened by half when it holds no candidate, and all candidates are kept when
     that holds none either. ``radius`` has the keys and ``radius``.
     """
-    centre = observed.groupBy(*keys).agg(F.max_by("x", "y").alias("_centre"))
+    # The first of equally good observations, where they are numbered.
+    last = -F.col("point_id") if "point_id" in observed.columns else F.col("x")
+    centre = observed.groupBy(*keys).agg(F.max_by("x", F.struct("y", last)).alias("_centre"))
     state = centre.join(radius, list(keys))
     placed = join_small(candidates, state, keys).withColumn(
         "distance", F.sqrt(sqdist(F.col("x"), F.col("_centre")))

@@ -93,7 +93,7 @@ def _weighted(col: str, w: str = "n_competitions") -> Column:
     return F.sum(F.col(col) * F.col(w)) / F.sum(w)
 
 
-def htl_combined(pool_stats: DataFrame) -> DataFrame:
+def htl_combined(pool_stats: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pool means weighted by their competitions, as if each mean were repeated that often.
 
     ``pool_stats`` holds one row per pool and optimizer.
@@ -103,21 +103,27 @@ def htl_combined(pool_stats: DataFrame) -> DataFrame:
     )
     # Centred second moments avoid cancellation.
     spread = join_small(pool_stats, mean, "optimizer")
-    w = F.col("n_competitions")
-    return spread.groupBy("optimizer").agg(
+    out = spread.groupBy("optimizer").agg(
         _weighted("mean_steps").alias("mean_steps"),
-        F.sqrt(
-            F.sum(w * F.pow(F.col("mean_steps") - F.col("_m"), F.lit(2))) / F.sum(w)
-        ).alias("std_steps"),
-        F.percentile("mean_steps", F.lit(0.5), w.cast("long")).alias("median_steps"),
+        _weighted_deviation("mean_steps", "_m").alias("std_steps"),
         F.min("mean_steps").alias("min_steps"),
         F.max("mean_steps").alias("max_steps"),
         _weighted("success_rate").alias("success_rate"),
         _weighted("mean_final_best").alias("mean_final_best"),
-        F.sqrt(
-            F.sum(w * F.pow(F.col("mean_final_best") - F.col("_f"), F.lit(2))) / F.sum(w)
-        ).alias("std_final_best"),
+        _weighted_deviation("mean_final_best", "_f").alias("std_final_best"),
     )
+    # There are as many repeated rows as competitions.
+    times = F.sequence(F.lit(1).cast("bigint"), F.col("n_competitions").cast("bigint"))
+    repeated = pool_stats.select("optimizer", "mean_steps", F.explode(times))
+    middle = agg_with_quantiles(
+        repeated, ["optimizer"], "mean_steps", {"median_steps": 0.5}, (), hot_rows
+    )
+    return out.join(middle, "optimizer")
+
+
+def _weighted_deviation(col: str, centre: str, w: str = "n_competitions") -> Column:
+    away = F.pow(F.col(col) - F.col(centre), F.lit(2))
+    return F.sqrt(F.sum(F.col(w) * away) / F.sum(w))
 
 
 def or_stats(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -189,7 +189,8 @@ def _split_scaled(spark, sf, fraction, seed):
 @query(
     "m20_trust_region",
     f"""WITH {POOL}, {split_sql("0.9", "5")}, {UNIT},
-    centre AS (SELECT campaign, max_by([x1, x2], y) AS c FROM scaled WHERE NOT hidden GROUP BY 1),
+    centre AS (SELECT campaign, [x1, x2] AS c FROM scaled WHERE NOT hidden
+      QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY y DESC, point_id) = 1),
     near AS (SELECT s.campaign, point_id, sqrt(power(x1 - c[1], 2) + power(x2 - c[2], 2)) AS distance,
       0.02::DOUBLE + length(s.campaign) * 0.01::DOUBLE AS radius
       FROM scaled s JOIN centre USING (campaign) WHERE hidden),
