@@ -5,10 +5,12 @@ from __future__ import annotations
 from ..session import scratch_path
 from .chat import chat_format
 from .common import read_table
+from .html_extract import extract_pages
 from .packing import pack_documents
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .registry import QUERIES, SQL, query
 from .token_output import segments, write_packed
+from .toxicity import toxicity
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -125,3 +127,17 @@ def op5_token_output(spark, sf_dir):
     """Every segment of the packed matrices, as written and read back."""
     blocks = write_packed(read_table(spark, sf_dir, "documents"), scratch_path(spark, "packed"))
     return segments(blocks)
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    """The toxicity of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
