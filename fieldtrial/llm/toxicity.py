@@ -27,8 +27,10 @@ BITS = 20
 # The training sample holds at most this many labelled rows of either class.
 MAX_PER_CLASS = 4000
 LANDMARKS = 256
-# A word teaches toxicity when it is this many deviations more common in toxic texts.
-MIN_EVIDENCE = 4.0
+# A word teaches toxicity when it is this many times as common in toxic texts as in others, and
+# occurs in so many of them, or in this share of them.
+MIN_RATIO = 5.0
+MIN_TEXTS, MIN_SHARE = 4, 0.01
 LONG_WORD, STEP = 24, 12
 CACHE_WORDS = 1_000_000
 # So many texts are split into words at a time.
@@ -224,6 +226,36 @@ def word_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def train(marks: list[str], positive: list[str], evidence: list[int], negative: list[str]) -> Model:
+    """The machine over the landmarks ``marks``; a toxic word costs as much as its evidence."""
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    keep = values > 1e-6
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    words = positive + negative
+    features = np.column_stack([kernel(words, marks) @ root, np.ones(len(words))])
+    sign = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    cost = np.concatenate([10.0 * np.sqrt(np.array(evidence) / max(evidence)), np.full(len(negative), 1.0)])
+    w = linear_svm(features, sign, cost)
+    owner, codes, weights = subsequences(marks)
+    folded = np.bincount(codes, weights * (root @ w[:-1])[owner], 1 << BITS)
+    at = np.flatnonzero(folded)
+    return Model(at, folded[at], float(w[-1]), np.zeros(5))
+
+
+def word_scores(words: DataFrame, model: Model) -> DataFrame:
+    """word and score of a column of normalised words."""
+
+    def score(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            scorer.learn(set(own))
+            scores = [scorer.known[w] for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["word", "score"])
+
+    return words.mapInArrow(score, "word string, score double")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, scratch: Scratch | None = None):
     """Train on a bounded sample; None when a class has no row or no word tells the classes apart.
 
@@ -235,36 +267,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     sizes = dict(rows.groupBy("toxic").count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return None
-    counts = scratch.write(word_counts(rows), "words")
-    share = sizes[1] / (sizes[0] + sizes[1])
-    n = F.col("t") + F.col("c")
-    evidence = (F.col("t") - n * share) / F.sqrt(n * share * (1 - share))
-    rated = counts.withColumn("z", evidence)
-    bad = (
-        rated.where((F.col("z") >= MIN_EVIDENCE) & (F.col("t") >= 3))
-        .orderBy(F.desc("z"), "word").limit(LANDMARKS).collect()
-    )
+    once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    counts = scratch.write(word_counts(once), "words")
+    in_toxic, in_other = F.col("t") / sizes[1], (F.col("c") + 0.5) / sizes[0]
+    telling = (in_toxic >= MIN_RATIO * in_other) & (F.col("t") >= max(MIN_TEXTS, MIN_SHARE * sizes[1]))
+    bad = counts.where(telling).orderBy(F.desc(in_toxic / F.sqrt(in_other)), "word").limit(LANDMARKS).collect()
     if not bad:
         return None
-    common = counts.join(F.broadcast(rated.where(f"z >= {MIN_EVIDENCE / 2}").select("word")), "word", "left_anti")
-    frequent = common.orderBy(F.desc("c"), "word").limit(LANDMARKS).collect()
-    others = common.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(4 * LANDMARKS).collect()
+    other = counts.where(in_toxic < 2 * in_other)
+    frequent = other.orderBy(F.desc("c"), "word").limit(LANDMARKS).collect()
+    mixed = other.orderBy(F.xxhash64("word"), "word").limit(4 * LANDMARKS).collect()
     positive = [r["word"] for r in bad]
-    negative = list(dict.fromkeys([r["word"] for r in frequent] + [r["word"] for r in others]))
+    negative = list(dict.fromkeys([r["word"] for r in frequent] + [r["word"] for r in mixed]))
     half = LANDMARKS // 2
     marks = positive[:half] + negative[: LANDMARKS - len(positive[:half])]
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    keep = values > 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    words = positive + negative
-    features = np.column_stack([kernel(words, marks) @ root, np.ones(len(words))])
-    sign = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    cost = np.where(sign > 0, 5.0 * len(negative) / len(positive), 5.0)
-    w = linear_svm(features, sign, np.minimum(cost, 50.0))
-    owner, codes, weights = subsequences(marks)
-    folded = np.bincount(codes, weights * (root @ w[:-1])[owner], 1 << BITS)
-    at = np.flatnonzero(folded)
-    model = Model(at, folded[at], float(w[-1]), np.zeros(5))
+    model = train(marks, positive, [r["t"] for r in bad], negative)
+    # Once more with the other words that the first machine finds the most toxic.
+    hard = word_scores(other.select("word"), model).orderBy(F.desc("score"), "word").limit(4 * LANDMARKS)
+    negative = list(dict.fromkeys(negative + [r["word"] for r in hard.collect()]))
+    model = train(marks, positive, [r["t"] for r in bad], negative)
     sampled = measure(rows, model, "toxic").collect()
     x = np.array([[r[f"m{k}"] for k in range(4)] for r in sampled])
     beta = logistic(curve_input(x), np.array([float(r["toxic"]) for r in sampled]))
