@@ -5,8 +5,10 @@ from __future__ import annotations
 from ..session import scratch_path
 from .chat import chat_format
 from .common import read_table
+from .decontaminate import contaminated
 from .html_extract import extract_pages
 from .packing import pack_documents
+from .pii import personal_data, summary
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .registry import QUERIES, SQL, query
 from .token_output import segments, write_packed
@@ -141,3 +143,42 @@ def op9_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, read_table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    """Counts and digests of the personal data in every document."""
+    return summary(personal_data(read_table(spark, sf_dir, "documents")))
+
+
+# Every shingle of every document against every shingle of every item, as texts.
+OP10_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w FROM documents
+), iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(len(w), 5) AS width FROM iw WHERE len(w) > 0
+), item AS (
+  SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2),
+    lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s FROM sized
+), size AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id),
+widths AS (SELECT DISTINCT width FROM item),
+doc AS (
+  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2),
+    lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s FROM dw, widths WHERE len(w) >= width
+), met AS (
+  SELECT doc_id, item_id, count(*) AS n_found FROM doc JOIN item USING (width, s) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, n AS n_shingles, n_found FROM met JOIN size USING (item_id)
+WHERE 100 * n_found >= 80 * n
+"""
+
+
+@query("op10_decontamination", OP10_SQL)
+def op10_decontamination(spark, sf_dir):
+    """Every document with the benchmark items it contains."""
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return contaminated(docs, items).drop("text_hash")
