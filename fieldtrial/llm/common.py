@@ -33,6 +33,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pack(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns, and all others in one struct where no name can clash with an operator's."""
+    other = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
+    row = F.struct(*other) if other else F.lit(None).cast("struct<none:int>")
+    return docs.select(*keep, row.alias("_row"))
+
+
+def unpack(df: DataFrame, columns: list[str], *keep: str) -> list:
+    """Column expressions that undo ``pack`` for a table that had ``columns``."""
+    return [F.col(c) if c in keep else F.col("_row").getField(c).alias(c) for c in columns]
+
+
 class Scratch:
     """Tables written to the shared folder during one run, dropped when they are no longer read."""
 
@@ -52,3 +64,19 @@ class Scratch:
         for name in names or list(self.paths):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def size(self, name: str) -> int:
+        """The bytes of a table's files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[name])
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+# Files of at most this size may be broadcast; in memory they take some times as much.
+BROADCAST_BYTES = 8 << 20
+
+
+def join_sized(
+    df: DataFrame, side: DataFrame, keys: list[str], how: str, scratch: Scratch, name: str
+) -> DataFrame:
+    """Join with a written table: broadcast if its files are small, else left to Spark."""
+    return df.join(F.broadcast(side) if scratch.size(name) <= BROADCAST_BYTES else side, keys, how)

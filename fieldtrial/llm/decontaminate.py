@@ -145,7 +145,9 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item."""
     found = contaminated(docs, items, width, scratch).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+        F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")
     ).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (
+        F.xxhash64("text") == F.col("_gone_hash")
+    )
     return docs.join(found, same, "left_anti")

@@ -7,6 +7,8 @@ from .chat import chat_format
 from .common import read_table
 from .decontaminate import contaminated
 from .html_extract import extract_pages
+from .jaccard_join import similar_documents
+from .line_dedup import line_dedup
 from .packing import pack_documents
 from .pii import personal_data, summary
 from .quality_rules import RULES, STOP_WORDS, quality_rules
@@ -182,3 +184,45 @@ def op10_decontamination(spark, sf_dir):
     """Every document with the benchmark items it contains."""
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return contaminated(docs, items).drop("text_hash")
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark, sf_dir):
+    """Every document with what line dedup leaves of its text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs)
+
+
+# The sets as texts, the links by counting common shingles, the components by recursion.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * c >= 90 * (a.n + b.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN link l ON r.other = l.x
+)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+@query("op1_ngram_jaccard_join", OP1_SQL)
+def op1_ngram_jaccard_join(spark, sf_dir):
+    """Every document with the component of its near copies."""
+    found = similar_documents(read_table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
