@@ -72,7 +72,8 @@ def beta_cdf(x: np.ndarray, a: float, b: float) -> np.ndarray:
     ) / p
     c, d = np.ones_like(z), 1.0 / _away_from_zero(1.0 - (p + q) * z / (p + 1.0))
     f = d.copy()
-    for m in range(1, 100_000):
+    # The fraction settles after a multiple of sqrt(a + b) steps.
+    for m in range(1, 1000 + 50 * math.isqrt(int(a + b) + 1)):
         even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
         d = 1.0 / _away_from_zero(1.0 + even * d)
         c = _away_from_zero(1.0 + even / c)

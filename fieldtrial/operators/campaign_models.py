@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import hash_int
 from ..functions.vectors import matrix
-from ..session import cut_lineage
+from ..session import cut_lineage, join_small
 from .models import NOISE, rbf
 from .neighbours import BASE_TILE, pair_sizes, tile_grid
 
@@ -33,11 +33,22 @@ def fit_campaigns(
     """One model row per campaign: inducing points, their weights and the variance matrix.
 
     The inducing points are all observations of a campaign, or ``m`` drawn by hash. Blocks of
-    observations add up m x m sums, and the weights are solved per campaign.
+    observations add up m x m sums, and the weights are solved per campaign. Features and labels
+    are standardized per campaign; the row carries their means and deviations.
     """
     ks = list(keys)
+    scale = cut_lineage(campaign_scale(observed, ks), "scale")
+    placed = join_small(observed.select(*ks, point, "x", "y"), scale, ks, computed=True)
     rows = cut_lineage(
-        observed.select(*ks, F.col(point).alias("_q"), F.col("x").alias("_qx"), "y"), "observed"
+        placed.select(
+            *ks,
+            F.col(point).alias("_q"),
+            F.zip_with(
+                F.zip_with("x", "x_mean", lambda v, m: v - m), "x_std", lambda v, s: v / s
+            ).alias("_qx"),
+            ((F.col("y") - F.col("y_mean")) / F.col("y_std")).alias("y"),
+        ),
+        "observed",
     )
     order = W.partitionBy(*ks).orderBy("_h", "_q")
     z = cut_lineage(
@@ -80,13 +91,32 @@ def fit_campaigns(
     return cut_lineage(
         sums.join(places, ks)
         .withColumn("_m", solve(F.col("_s._v"), F.col("_z._bx")))
+        .join(scale, ks)
         .select(
-            *ks, F.lit(0).cast("long").alias("_b"), F.col("_z._bx").alias("z"), "_m.w", "_m.inv"
+            *ks, F.lit(0).cast("long").alias("_b"), F.col("_z._bx").alias("z"), "_m.w", "_m.inv",
+            "x_mean", "x_std", "y_mean", "y_std",
         ),
         "models",
     )
 
 
+def campaign_scale(observed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Means and deviations of ``x`` and ``y`` per campaign; a constant has deviation 1."""
+    ks = list(keys)
+    deviation = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(F.lit(1.0))
+    dims = (
+        observed.select(*ks, F.posexplode("x").alias("_d", "_v"))
+        .groupBy(*ks, "_d")
+        .agg(F.avg("_v").alias("_m"), deviation("_v").alias("_s"))
+    )
+    # One row per dimension and campaign.
+    wide = dims.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("_d", "_m", "_s"))).alias("_a"))
+    labels = observed.groupBy(*ks).agg(F.avg("y").alias("y_mean"), deviation("y").alias("y_std"))
+    return wide.join(labels, ks).select(
+        *ks, F.col("_a._m").alias("x_mean"), F.col("_a._s").alias("x_std"), "y_mean", "y_std"
+    )
+
+
 def score_campaigns(
     model: DataFrame,
     rows: DataFrame,
@@ -105,9 +135,13 @@ def score_campaigns(
         c = np.stack([np.asarray(v, dtype=float) for v in one["z"]])
         p = math.isqrt(len(one["inv"]))
         inv = np.asarray(one["inv"], dtype=float).reshape(p, p)
-        k = rbf(matrix(left["_qx"]), c, length)
+        x = (matrix(left["_qx"]) - np.asarray(one["x_mean"])) / np.asarray(one["x_std"])
+        k = rbf(x, c, length)
         var = np.maximum(1.0 - (k * (k @ inv)).sum(1) + noise, 1e-6)
-        return left.assign(mean=k @ np.asarray(one["w"], dtype=float), std=np.sqrt(var))
+        mean = k @ np.asarray(one["w"], dtype=float)
+        return left.assign(
+            mean=mean * one["y_std"] + one["y_mean"], std=np.sqrt(var) * one["y_std"]
+        )
 
     fields = [
         *[asked.schema[c] for c in ("_q", "_qx", *kept)],

@@ -27,7 +27,8 @@ from .stats import (
 
 PAIR = ["optimizer_a", "optimizer_b"]
 HASH_BITS = 128  # bits of one md5 value
-INVERSE_ROWS = 20_000
+# A task holds the null sums of this many pairs at a time.
+PAIRS_HELD = 256
 
 
 def complete_blocks(df: DataFrame, metric: str) -> DataFrame:
@@ -128,8 +129,16 @@ def sign_flip_test(diffs: DataFrame, n: int = 1000) -> DataFrame:
 
     def null_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            rows = [(a, b, acc[0], acc[1:]) for (a, b), acc in kept.items()]
+            kept.clear()
+            return pd.DataFrame(rows, columns=["optimizer_a", "optimizer_b", "observed", "sums"])
+
         for batch in batches:
             for pair, part in batch.groupby(PAIR, sort=False):
+                if pair not in kept and len(kept) >= PAIRS_HELD:
+                    yield flush()
                 d = part["diff"].to_numpy(float)
                 acc = kept.setdefault(pair, np.zeros(n + 1))
                 for at in range(0, len(d), 4096):
@@ -140,10 +149,7 @@ def sign_flip_test(diffs: DataFrame, n: int = 1000) -> DataFrame:
                     acc[0] += piece.sum()
                     acc[1:] += 2.0 * (piece @ bits) - piece.sum()
         if kept:
-            yield pd.DataFrame(
-                [(a, b, acc[0], acc[1:]) for (a, b), acc in kept.items()],
-                columns=["optimizer_a", "optimizer_b", "observed", "sums"],
-            )
+            yield flush()
 
     partial = rows.mapInPandas(null_sums, schema)
     total = (
@@ -167,9 +173,8 @@ def _median_draws(counts: DataFrame, n: int) -> DataFrame:
     """Sorted positions whose values are the medians of ``n`` resamples of a group of ``_n`` rows.
 
     The m-th smallest of _n uniform draws has a Beta(m, _n - m + 1) distribution, and the next one
-    is a minimum of the rest, so a resample median needs two numbers instead of _n draws. Up to
-    ``INVERSE_ROWS`` rows the Beta numbers come from hashed uniforms by inversion, above that from
-    a seeded generator, because inversion takes about sqrt(_n) steps.
+    is a minimum of the rest, so a resample median needs two numbers instead of _n draws. The Beta
+    numbers come from hashed uniforms by inversion, in about sqrt(_n) steps for all of them.
     """
     schema = counts.select(*PAIR, "_n").schema.simpleString()[7:-1]
 
@@ -183,10 +188,7 @@ def _median_draws(counts: DataFrame, n: int) -> DataFrame:
                 size = int(row[-1])
                 if size not in known:
                     m = (size + 1) // 2
-                    if size <= INVERSE_ROWS:
-                        u = beta_quantile(first, m, size - m + 1)
-                    else:
-                        u = np.random.default_rng(42).beta(m, size - m + 1, n)
+                    u = beta_quantile(first, m, size - m + 1)
                     v = u if size % 2 else 1.0 - (1.0 - u) * (1.0 - second) ** (1.0 / (size - m))
                     known[size] = [
                         np.minimum(np.floor(size * x).astype(int), size - 1) for x in (u, v)

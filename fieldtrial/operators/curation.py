@@ -104,8 +104,11 @@ Example:
 JUDGE_CHARS = 2000
 CONTEXT_CHARS = 200_000
 
-# Combined texts are cut after this many characters, at the end of a file.
-CHUNK_CHARS = 16_000_000
+# The role text that goes with a consistency request.
+JUDGE_SYSTEM = (
+    "You are an expert data auditor. "
+    "You compare free-text method descriptions against extracted values."
+)
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -159,21 +162,38 @@ def combine_texts(
     order: str,
     text: str,
     name: str,
-    chunk_chars: int = CHUNK_CHARS,
+    chunk_chars: int | None = None,
     block_size: int = 100_000,
 ) -> DataFrame:
     """Texts of a key joined in file order, a line break after each, and the file names.
 
-    A key whose texts exceed ``chunk_chars`` gets several rows, numbered by ``chunk``, that
-    together hold all of its text; others get chunk 0 alone. ``order`` is an integer. A key with
-    nothing but white space is dropped.
+    Without ``chunk_chars`` a key has one row, chunk 0. With it the text is cut into rows of about
+    that many characters, at the end of a file. ``order`` is an integer; files with the same one
+    follow by name. A key with nothing but white space is dropped.
     """
-    sized = files.select(
+    files = files.select(
         F.col(key).alias("key"),
         F.col(order).alias("_o"),
         F.coalesce(F.col(text), F.lit("")).alias("_t"),
         F.col(name).alias("_f"),
     )
+    if chunk_chars is None:
+        listed = F.array_sort(F.collect_list(F.struct("_o", "_f", "_t")))
+        whole = files.groupBy("key").agg(listed.alias("_p"), F.max(_filled("_t")).alias("_some"))
+        return whole.where("_some").select(
+            "key",
+            F.lit(0).alias("chunk"),
+            F.concat(F.array_join(F.col("_p._t"), "\n"), F.lit("\n")).alias("text"),
+            F.array_join(F.col("_p._f"), "; ").alias("file_names"),
+        )
+    tied = F.array_sort(F.collect_list(F.struct("_f", "_t")))
+    sized = (
+        files.groupBy("key", "_o")
+        .agg(tied.alias("_p"))
+        .select(
+            "key", "_o", F.array_join("_p._t", "\n").alias("_t"), F.array_join("_p._f", "; ").alias("_f")
+        )
+    )
     # The running size needs no texts, so only lengths are sorted.
     lengths = sized.select("key", "_o", (F.length("_t") + 1).alias("_len"), _filled("_t"))
     placed = running(lengths, ["key"], "_o", {"_upto": ("sum", "_len")}, block_size)
@@ -228,10 +248,15 @@ def tm_mismatches(df: DataFrame, first: str = "TM Variant", second: str = "Tm")
     )
 
 
-def build_judge_request(df: DataFrame) -> DataFrame:
-    """Consistency request from a description and three extracted values."""
+def build_judge_request(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Consistency request from a description and three extracted values.
+
+    Adds ``system``, the role text, and ``request``. The whole description is sent unless
+    ``max_chars`` says how much of it.
+    """
+    description = F.col("Experimental Conditions/Methods Description")
     filled = {
-        "{description}": tx.truncate(F.col("Experimental Conditions/Methods Description"), JUDGE_CHARS),
+        "{description}": description if max_chars is None else tx.truncate(description, max_chars),
         "{buffer}": F.col("Buffer"),
         "{ph}": F.col("pH"),
         "{concentration}": F.col("Protein concentration"),
@@ -242,7 +267,7 @@ def build_judge_request(df: DataFrame) -> DataFrame:
         before, rest = rest.split(mark, 1)
         pieces += [F.lit(before), F.coalesce(value, F.lit(""))]
     request = F.concat(*pieces, F.lit(rest))
-    return df.withColumn("request", request)
+    return df.withColumn("system", F.lit(JUDGE_SYSTEM)).withColumn("request", request)
 
 
 def summarize_flags(df: DataFrame) -> DataFrame:

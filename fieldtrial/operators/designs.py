@@ -17,8 +17,8 @@ from ..session import cut_lineage, join_small
 from .exact import hash_row_number
 from .generate import key_cols, latin_hypercube, numbered, scale_points
 
-MAX_FACTORS = 10
-MAX_FRACTION_RUNS = 2000
+# Run numbers are 64-bit.
+MAX_RUNS = 2**62
 
 # First rows of the Plackett-Burman designs with 4, 8 and 12 runs.
 PB_ROWS = {
@@ -41,7 +41,7 @@ def _runs(limits: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 
 def _digit(base: int, j: int) -> Column:
-    """Digit ``j`` of the run number, the first factor varying slowest."""
+    """Digit ``j`` of the run number."""
     return F.floor(F.col("run") / F.lit(base**j)).cast("bigint") % base
 
 
@@ -56,10 +56,16 @@ def _placed(runs: DataFrame, keys: Sequence[str], code: Column) -> DataFrame:
 
 
 def full_factorial(limits: DataFrame, keys: Sequence[str], d: int, levels: int = 3) -> DataFrame:
-    """All level combinations of at most ten factors."""
-    k = min(d, MAX_FACTORS)
-    code = _codes([_digit(levels, j) * 2 / F.lit(levels - 1.0) - 1 for j in range(k)])
-    return _placed(_runs(limits, keys, levels**k), keys, code)
+    """All level combinations of the leading ``d`` coordinates, the first varying fastest."""
+    n = _combinations(levels, d)
+    code = _codes([_digit(levels, j) * 2 / F.lit(levels - 1.0) - 1 for j in range(d)])
+    return _placed(_runs(limits, keys, n), keys, code)
+
+
+def _combinations(levels: int, d: int) -> int:
+    if levels**d > MAX_RUNS:
+        raise ValueError(f"{d} factors at {levels} levels have too many combinations")
+    return levels**d
 
 
 def fractional_factorial(
@@ -69,12 +75,16 @@ def fractional_factorial(
     levels: int = 3,
     fraction: float = 0.5,
     seed: int | str = 0,
+    max_runs: int | None = None,
 ) -> DataFrame:
-    """A hashed share of the combinations, drawn with replacement, at the bin centres."""
-    k = min(d, MAX_FACTORS)
-    n = min(max(1, int(levels**k * fraction)), MAX_FRACTION_RUNS)
+    """A hashed share of the combinations, drawn with replacement, at the bin centres.
+
+    ``max_runs`` bounds the design where the caller wants a bound.
+    """
+    n = max(1, int(_combinations(levels, d) * fraction))
+    n = n if max_runs is None else min(n, max_runs)
     level = [
-        hash_int(str(seed), *key_cols(keys), F.col("run"), str(j), mod=levels) for j in range(k)
+        hash_int(str(seed), *key_cols(keys), F.col("run"), str(j), mod=levels) for j in range(d)
     ]
     code = _codes([(v + 0.5) * 2 / F.lit(float(levels)) - 1 for v in level])
     return _placed(_runs(limits, keys, n), keys, code)
@@ -108,8 +118,8 @@ def central_composite(
     limits: DataFrame, keys: Sequence[str], d: int, alpha: float = 1.414
 ) -> DataFrame:
     """Corners, axial points at plus and minus ``alpha``, and the centre."""
-    k = min(d, MAX_FACTORS)
-    corners = 2**k
+    k = d
+    corners = _combinations(2, k)
     code = []
     for j in range(k):
         corner = _digit(2, k - 1 - j) * 2.0 - 1
@@ -138,12 +148,18 @@ def box_behnken(limits: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
 
 
 def lhs_runs(
-    limits: DataFrame, keys: Sequence[str], n: Column, d: int, seed: int | str = 0
+    limits: DataFrame,
+    keys: Sequence[str],
+    n: Column,
+    d: int,
+    seed: int | str = 0,
+    max_runs: int | None = None,
 ) -> DataFrame:
-    """Latin-hypercube runs scaled to the data range; the design size is min(50, n / 2)."""
-    slots = numbered(limits, F.least(F.lit(50), F.floor(n / 2)), "run")
+    """Latin-hypercube runs scaled to the data range: n / 2 of them, or ``max_runs`` if given."""
+    half = F.floor(n / 2)
+    size = half if max_runs is None else F.least(F.lit(max_runs), half)
+    slots = numbered(limits, size, "run")
     unit = latin_hypercube(slots.select(*keys, "run"), keys, "run", d, seed)
-    # At most 50 runs per key.
     return cut_lineage(scale_points(unit, limits.select(*keys, "low", "high"), keys), "runs")
 
 

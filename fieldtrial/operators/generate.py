@@ -164,13 +164,9 @@ def manifold_pool(
     )
 
 
-def subsample(
-    df: DataFrame, row: str, seed: int | str, cap: int = 600, above: int = 1500
-) -> DataFrame:
-    """At most ``cap`` rows without replacement when there are more than ``above``."""
-    if df.limit(above + 1).count() <= above:
-        return df
-    return df.orderBy(hash_int(str(seed), F.col(row)), row).limit(cap)
+def subsample(df: DataFrame, row: str, seed: int | str, n: int) -> DataFrame:
+    """``n`` rows without replacement, or all rows where there are no more."""
+    return df.orderBy(hash_int(str(seed), F.col(row)), row).limit(n)
 
 
 def target_points(pool: DataFrame, keys: Sequence[str], point: str = "point_id") -> DataFrame:

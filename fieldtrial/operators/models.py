@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import matrix, total
-from .generate import subsample
+from ..functions.hashing import hash_int
+from ..functions.vectors import matrix, sqdist, total
+from ..session import cut_lineage
+from .exact import hash_row_number
 from .scoring import gram
 from .stats import regression_fit
 
@@ -106,19 +108,54 @@ def kernel_features(x: Column, z: np.ndarray, length: float = 1.0) -> Column:
     return features(x)
 
 
+@dataclass(frozen=True)
+class Scale:
+    """Means and deviations by which features and labels are standardized."""
+
+    x_mean: np.ndarray
+    x_std: np.ndarray
+    y_mean: float
+    y_std: float
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.x_mean) / self.x_std
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        x = [
+            (F.col("x")[i] - float(m)) / float(s)
+            for i, (m, s) in enumerate(zip(self.x_mean, self.x_std))
+        ]
+        return df.withColumn("x", F.array(*x)).withColumn("y", (F.col("y") - self.y_mean) / self.y_std)
+
+
+def fit_scale(df: DataFrame) -> Scale:
+    """Population means and deviations of ``x`` and ``y``; a constant has deviation 1."""
+    width = len(df.select("x").first()["x"])
+    columns = [F.col("x")[i] for i in range(width)] + [F.col("y")]
+    row = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    mean, std = np.array(row[::2], dtype=float), np.array(row[1::2], dtype=float)
+    std[std == 0] = 1.0
+    return Scale(mean[:-1], std[:-1], float(mean[-1]), float(std[-1]))
+
+
 @dataclass(frozen=True)
 class KernelModel:
-    """Weights on the inducing points and the matrix of the predictive variance."""
+    """Weights on the inducing points and the matrix of the predictive variance.
+
+    A model with a ``scale`` was fitted on standardized rows and answers in the original units.
+    """
 
     z: np.ndarray
     weights: np.ndarray
     inverse: np.ndarray | None
     noise: float
     length: float
+    scale: Scale | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add the posterior ``mean`` and ``std``; the variance is at least 1e-6."""
         z, w, inv, noise, length = self.z, self.weights, self.inverse, self.noise, self.length
+        scale = self.scale
 
         @F.pandas_udf(
             T.StructType(
@@ -126,12 +163,16 @@ class KernelModel:
             )
         )
         def posterior(rows: pd.Series) -> pd.DataFrame:
-            k = rbf(matrix(rows), z, length)
+            x = matrix(rows)
+            k = rbf(x if scale is None else scale.features(x), z, length)
             if inv is None:
                 var = np.full(len(k), noise)
             else:
                 var = np.maximum(1.0 - (k * (k @ inv)).sum(1) + noise, 1e-6)
-            return pd.DataFrame({"mean": k @ w, "std": np.sqrt(var)})
+            mean, std = k @ w, np.sqrt(var)
+            if scale is not None:
+                mean, std = mean * scale.y_std + scale.y_mean, std * scale.y_std
+            return pd.DataFrame({"mean": mean, "std": std})
 
         return (
             df.withColumn("_p", posterior("x"))
@@ -155,22 +196,40 @@ def _normal_equations(df: DataFrame, weight: str | None = None):
     return np.array(row["xtx"]).reshape(m, m), np.array(row["xty"])
 
 
+def _standardized(df: DataFrame, z: np.ndarray, standardize: bool):
+    if not standardize:
+        return df, z, None
+    scale = fit_scale(df)
+    return scale.rows(df), scale.features(np.asarray(z, dtype=float)), scale
+
+
 def fit_nystrom(
-    df: DataFrame, z: np.ndarray, noise: float = NOISE, length: float = 1.0
+    df: DataFrame,
+    z: np.ndarray,
+    noise: float = NOISE,
+    length: float = 1.0,
+    standardize: bool = True,
 ) -> KernelModel:
     """Kernel regression through the inducing points.
 
-    The n x n system (K Kmm^-1 K' + noise I) a = y is solved in its m x m Woodbury form.
+    The n x n system (K Kmm^-1 K' + noise I) a = y is solved in its m x m Woodbury form. Features
+    and labels are standardized first, and ``z`` (in the units of ``x``) with them.
     """
+    df, z, scale = _standardized(df, z, standardize)
     kmm = rbf(z, z, length) + noise * np.eye(len(z))
     a, b = _normal_equations(df.withColumn("_k", kernel_features(F.col("x"), z, length)))
-    return KernelModel(z, _solve(noise * kmm + a, b), None, noise, length)
+    return KernelModel(z, _solve(noise * kmm + a, b), None, noise, length, scale)
 
 
 def fit_fitc(
-    df: DataFrame, z: np.ndarray, noise: float = NOISE, length: float = 1.0
+    df: DataFrame,
+    z: np.ndarray,
+    noise: float = NOISE,
+    length: float = 1.0,
+    standardize: bool = True,
 ) -> KernelModel:
     """Kernel regression with a weight per row for the variance the inducing points miss."""
+    df, z, scale = _standardized(df, z, standardize)
     kmm = rbf(z, z, length)
     inv = np.linalg.inv(kmm)
 
@@ -182,36 +241,50 @@ def fit_fitc(
 
     rows = df.withColumn("_k", kernel_features(F.col("x"), z, length))
     a, b = _normal_equations(rows.withColumn("_w", row_weight("_k")), "_w")
-    return KernelModel(z, _solve(a + inv, b), inv, noise, length)
+    return KernelModel(z, _solve(a + inv, b), inv, noise, length, scale)
 
 
 def fit_vfe(
-    df: DataFrame, z: np.ndarray, noise: float = NOISE, length: float = 1.0
+    df: DataFrame,
+    z: np.ndarray,
+    noise: float = NOISE,
+    length: float = 1.0,
+    standardize: bool = True,
 ) -> KernelModel:
     """Kernel regression in the variational form with fixed inducing points."""
+    df, z, scale = _standardized(df, z, standardize)
     kmm = rbf(z, z, length) + 1e-6 * np.eye(len(z))
     a, b = _normal_equations(df.withColumn("_k", kernel_features(F.col("x"), z, length)))
-    return KernelModel(z, _solve(a + noise * kmm, b), np.linalg.inv(kmm), noise, length)
+    return KernelModel(z, _solve(a + noise * kmm, b), np.linalg.inv(kmm), noise, length, scale)
 
 
-def median_distance(df: DataFrame, row: str, seed: int | str = 42) -> DataFrame:
-    """Median of the positive pairwise distances, the square root of the width if there is none.
+def median_distance(
+    df: DataFrame, row: str, n_pairs: int = 20_000, seed: int | str = 42
+) -> DataFrame:
+    """Median of the positive distances of ``n_pairs`` hashed pairs of rows.
 
-    A model is fitted on at most 1500 rows, or on 600 drawn from more; so is its length scale.
+    The rows are numbered by hash; pair r joins the rows at two hashed numbers, whatever the size
+    of the table. Without a positive distance the value is the square root of the width.
     """
-    kept = subsample(df.select(row, "x"), row, seed)
-
-    def middle(rows: pd.DataFrame) -> pd.DataFrame:
-        m = matrix(rows["x"])
-        found = []
-        for i in range(len(m) - 1):
-            d = np.sqrt(((m[i + 1 :] - m[i]) ** 2).sum(1))
-            found.append(d[d > 0])
-        every = np.concatenate(found) if found else np.empty(0)
-        value = float(np.median(every)) if len(every) else float(np.sqrt(m.shape[1]))
-        return pd.DataFrame({"median_distance": [value]})
-
-    return kept.groupBy().applyInPandas(middle, "median_distance double")
+    hashed = df.select(row, "x").withColumn("_h", hash_int(str(seed), F.col(row)))
+    rows = cut_lineage(hash_row_number(hashed, [], "_h", [row], "_at").select("_at", "x"), "rows")
+    n = rows.count()
+    pairs = df.sparkSession.range(n_pairs).select(
+        *[_place(n, str(seed), side, F.col("id")).alias(side) for side in ("i", "j")]
+    )
+    left = rows.select(F.col("_at").alias("i"), F.col("x").alias("a"))
+    right = rows.select(F.col("_at").alias("j"), F.col("x").alias("b"))
+    distances = pairs.join(left, "i").join(right, "j").select(
+        F.sqrt(sqdist(F.col("a"), F.col("b"))).alias("d"), F.size("a").alias("width")
+    )
+    middle = F.percentile(F.when(F.col("d") > 0, F.col("d")), F.lit(0.5))
+    return distances.agg(F.coalesce(middle, F.sqrt(F.max("width"))).alias("median_distance"))
+
+
+def _place(n: int, *parts) -> Column:
+    """A number in 1..n from 52 hashed bits."""
+    bits = hash_int(*parts) * F.lit(1 << 20) + hash_int(*parts, "low") % F.lit(1 << 20)
+    return bits % F.lit(max(n, 1)).cast("long") + 1
 
 
 def pca2(df: DataFrame) -> tuple[DataFrame, list[float]]:

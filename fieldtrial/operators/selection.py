@@ -24,14 +24,33 @@ def select_batch(
 ) -> DataFrame:
     """The ``batch`` best scores per campaign, the smallest id on ties.
 
-    Spark keeps only ``batch`` rows per campaign and task before the shuffle.
+    Only rows among the ``batch`` best of their part of a campaign reach the final sort.
     """
-    w = W.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), point)
+    order = [F.col("score").desc_nulls_last(), F.col(point)]
+    w = W.partitionBy(*keys).orderBy(*order)
+    scored = _best_of_parts(scored, keys, order, batch, point)
     return scored.withColumn("batch_position", F.row_number().over(w)).where(
         F.col("batch_position") <= batch
     )
 
 
+# Spark itself keeps the best rows of a task before the shuffle up to this batch.
+GROUP_LIMIT = 1000
+PARTS = 64
+
+
+def _best_of_parts(
+    df: DataFrame, keys: Sequence[str], order: Sequence, batch: int, point: str
+) -> DataFrame:
+    """Rows among the ``batch`` first of their part; parts are dealt by a hash of the point."""
+    if batch <= GROUP_LIMIT:
+        return df
+    part = F.pmod(F.xxhash64(point), F.lit(PARTS)).alias("_part")
+    w = W.partitionBy(*keys, "_part").orderBy(*order)
+    ranked = df.select("*", part).withColumn("_in", F.row_number().over(w))
+    return ranked.where(F.col("_in") <= batch).drop("_part", "_in")
+
+
 def sanitize_batch(
     proposals: DataFrame,
     hidden: DataFrame,
@@ -56,6 +75,7 @@ def sanitize_batch(
     )
     w = W.partitionBy(*keys).orderBy("_tier", "_o", point)
     both = kept.select(*at, F.col("_o").cast("bigint").alias("_o"), "_tier").unionByName(rest)
+    both = _best_of_parts(both, keys, [F.col(c) for c in ("_tier", "_o", point)], batch, point)
     return (
         both.withColumn("batch_position", F.row_number().over(w))
         .where(F.col("batch_position") <= batch)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import join_small
-from .exact import HOT_ROWS, agg_with_quantiles, finite
+from .exact import HOT_ROWS, agg_with_quantiles, finite, hot_groups
 
 
 # Optimizers ranked and paired inside one row.
@@ -101,24 +101,46 @@ def htl_combined(pool_stats: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     mean = pool_stats.groupBy("optimizer").agg(
         _weighted("mean_steps").alias("_m"), _weighted("mean_final_best").alias("_f")
     )
+    counted = F.col("n_competitions") > 0
     # Centred second moments avoid cancellation.
     spread = join_small(pool_stats, mean, "optimizer")
     out = spread.groupBy("optimizer").agg(
         _weighted("mean_steps").alias("mean_steps"),
         _weighted_deviation("mean_steps", "_m").alias("std_steps"),
-        F.min("mean_steps").alias("min_steps"),
-        F.max("mean_steps").alias("max_steps"),
+        F.min(F.when(counted, F.col("mean_steps"))).alias("min_steps"),
+        F.max(F.when(counted, F.col("mean_steps"))).alias("max_steps"),
         _weighted("success_rate").alias("success_rate"),
         _weighted("mean_final_best").alias("mean_final_best"),
         _weighted_deviation("mean_final_best", "_f").alias("std_final_best"),
     )
-    # There are as many repeated rows as competitions.
-    times = F.sequence(F.lit(1).cast("bigint"), F.col("n_competitions").cast("bigint"))
-    repeated = pool_stats.select("optimizer", "mean_steps", F.explode(times))
-    middle = agg_with_quantiles(
-        repeated, ["optimizer"], "mean_steps", {"median_steps": 0.5}, (), hot_rows
+    return out.join(_weighted_median(pool_stats.where(counted), hot_rows), "optimizer", "left")
+
+
+def _weighted_median(pool_stats: DataFrame, hot_rows: int) -> DataFrame:
+    """Median of the means, each repeated as often as its pool has competitions."""
+    value, w = F.col("mean_steps"), F.col("n_competitions")
+    times = pool_stats.where(value.isNotNull()).groupBy("optimizer", "mean_steps").agg(
+        F.sum("n_competitions").cast("bigint").alias("n_competitions")
+    )
+    if hot_groups(times, ["optimizer"], hot_rows).isEmpty():
+        return times.groupBy("optimizer").agg(F.percentile(value, F.lit(0.5), w).alias("median_steps"))
+    # Values in blocks of the hot group's quantiles, each summed alone and shifted.
+    steps = times.withColumn("_block", F.floor(value).cast("bigint"))
+    sums = steps.groupBy("optimizer", "_block").agg(F.sum(w).alias("_n"))
+    order = W.partitionBy("optimizer").orderBy("_block")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(W.partitionBy("optimizer"))
+    placed = steps.join(
+        sums.select("optimizer", "_block", before.alias("_before"), total.alias("_total")),
+        ["optimizer", "_block"],
+    )
+    inside = F.sum(w).over(
+        W.partitionBy("optimizer", "_block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     )
-    return out.join(middle, "optimizer")
+    reached = placed.withColumn("_upto", F.col("_before") + inside)
+    low = F.min(F.when(F.col("_upto") * 2 >= F.col("_total"), value))
+    high = F.min(F.when(F.col("_upto") * 2 > F.col("_total"), value))
+    return reached.groupBy("optimizer").agg(((low + high) / 2).alias("median_steps"))
 
 
 def _weighted_deviation(col: str, centre: str, w: str = "n_competitions") -> Column:

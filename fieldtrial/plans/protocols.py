@@ -26,6 +26,9 @@ MIN_CANDIDATES = 1000
 CANDIDATES_PER_DIM = 500
 CANDIDATES_PER_PICK = 50
 
+# Fixed values of the strategies: the factors of a grid and the runs of a hypercube or a fraction.
+DESIGN_FACTORS, DESIGN_RUNS, FRACTION_RUNS = 10, 50, 2000
+
 RANDOM_ORDERS = ("RANDOM", "DE_DIRECT")
 
 
@@ -39,10 +42,11 @@ def fixed_order(
     if name in RANDOM_ORDERS:
         return designs.random_order(pool, keys, seed)
     limits = stats.bounds(pool, keys)
-    factors = min(d, designs.MAX_FACTORS)
+    factors = min(d, DESIGN_FACTORS)
     if name == "LATIN_HYPERCUBE":
         sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-        runs = designs.lhs_runs(limits.join(sizes, list(keys)), keys, F.col("rows"), d, seed)
+        sized = limits.join(sizes, list(keys))
+        runs = designs.lhs_runs(sized, keys, F.col("rows"), d, seed, DESIGN_RUNS)
         matches = first_occurrence(knn(runs, pool, 1, keys, "run", "point_id"), keys)
     elif name == "PLACKETT_BURMAN":
         runs = designs.plackett_burman(limits, keys, d, seed)
@@ -53,9 +57,11 @@ def fixed_order(
         make = {
             "FULL_FACTORIAL": designs.full_factorial,
             "CENTRAL_COMPOSITE": designs.central_composite,
-            "FRACTIONAL_FACTORIAL": lambda b, k, n: designs.fractional_factorial(b, k, n, seed=seed),
+            "FRACTIONAL_FACTORIAL": lambda b, k, n: designs.fractional_factorial(
+                b, k, n, seed=seed, max_runs=FRACTION_RUNS
+            ),
         }[name]
-        matches = match_design(make(limits, keys, d), pool, keys, factors=factors)
+        matches = match_design(make(limits, keys, factors), pool, keys, factors=factors)
     return designs.design_order(pool, matches, keys, seed)
 
 
@@ -111,7 +117,7 @@ def hide_the_label(
     keys: Sequence[str],
     fraction: float,
     batch: int = 1,
-    cap: int = 1000,
+    cap: int | None = None,
     seed: int | str = 42,
 ) -> DataFrame:
     """Steps to target, success and final best of a scoring strategy per campaign."""

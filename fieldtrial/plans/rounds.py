@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -54,10 +55,10 @@ def run_rounds(
     scorer: Scorer,
     keys: Sequence[str],
     batch: int = 1,
-    cap: int = 100,
+    cap: int | None = None,
     point: str = "point_id",
 ) -> DataFrame:
-    """Play rounds until every target is found or ``cap`` rounds have passed.
+    """Play rounds until every target is found, or ``cap`` rounds have passed if that is given.
 
     ``revealed`` holds the initially known points. The picks of a round are written to the shared
     folder, one part per step, so a plan never spans more than one round. The result is the
@@ -69,7 +70,7 @@ def run_rounds(
     start = cut_lineage(revealed.select(*at), "revealed")
     path = scratch_path(spark, "rounds")
     schema = None
-    for step in range(cap):
+    for step in itertools.count() if cap is None else range(cap):
         known = start
         if step:
             done = spark.read.schema(schema).parquet(path)

@@ -56,7 +56,8 @@ def _tournaments(root: Column) -> Column:
     ]
     bare = F.from_json(root["competitions"], _COMPETITIONS)
     listed.append(F.when(bare.isNotNull(), F.array(F.struct(bare.alias("competitions")))))
-    return F.coalesce(*listed)
+    # A layout that is there but empty is passed over.
+    return F.coalesce(*[F.when(F.size(found) > 0, found) for found in listed])
 
 
 def parse_results(files: DataFrame) -> DataFrame:
@@ -167,8 +168,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_cells(df: DataFrame, path: str) -> None:
-    """One JSON folder per sweep cell; finished cells are found again by their folder."""
-    df.write.mode("append").partitionBy("combo", "dataset").json(path)
+    """One JSON folder per sweep cell; finished cells are found again by their folder.
+
+    A cell that is written again replaces what it had.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("combo", "dataset").json(path)
 
 
 def read_text_table(spark: SparkSession, path: str, fill: str | None = "") -> DataFrame:

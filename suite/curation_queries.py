@@ -214,7 +214,7 @@ def p18(spark, sf):
 def _judge_sql() -> str:
     out, rest = [], curation.JUDGE_TEMPLATE
     values = {
-        "{description}": "substr(text, 1, 2000)", "{buffer}": "lang", "{ph}": "'7.' || (doc_id % 10)",
+        "{description}": "text", "{buffer}": "lang", "{ph}": "'7.' || (doc_id % 10)",
         "{concentration}": "n_chars || ' mg'",
     }
     for mark, value in values.items():
@@ -223,7 +223,10 @@ def _judge_sql() -> str:
     return " || ".join([*out, _quote(rest)])
 
 
-@query("p19_judge_request", f"SELECT doc_id, {_judge_sql()} AS request FROM documents")
+@query(
+    "p19_judge_request",
+    f"SELECT doc_id, '{curation.JUDGE_SYSTEM}' AS system, {_judge_sql()} AS request FROM documents",
+)
 def p19(spark, sf):
     d = table(spark, sf, "documents").select(
         "doc_id",
@@ -232,7 +235,7 @@ def p19(spark, sf):
         F.concat(F.lit("7."), (F.col("doc_id") % 10).cast("string")).alias("pH"),
         F.concat(F.col("n_chars").cast("string"), F.lit(" mg")).alias("Protein concentration"),
     )
-    return curation.build_judge_request(d).select("doc_id", "request")
+    return curation.build_judge_request(d).select("doc_id", "system", "request")
 
 
 VERDICT = """verdicts AS (SELECT doc_id, doc_id % 5 = 4 AS broken, quality = 1 AS q, toxic = 1 AS t

@@ -125,7 +125,7 @@ def g5(spark, sf):
 )
 def g6(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    return generate.subsample(p, "p_partkey", 11)
+    return generate.subsample(p, "p_partkey", 11, 600)
 
 
 def split_sql(fraction: str, seed: str) -> str:
@@ -385,7 +385,7 @@ LHS_RUNS = f"""slots AS (SELECT *, least(50, n // 2) AS m, unnest(range(least(50
 )
 def d6(spark, sf):
     return _flat(
-        designs.lhs_runs(_limits(pool3(spark, sf)), C, F.col("rows"), 3), "campaign", "run"
+        designs.lhs_runs(_limits(pool3(spark, sf)), C, F.col("rows"), 3, max_runs=50), "campaign", "run"
     )
 
 
@@ -413,7 +413,7 @@ MATCHED = f"""{POOL3}, {LIMITS3}, {LHS_RUNS},
 
 def _matched(spark, sf):
     p = pool3(spark, sf)
-    runs = designs.lhs_runs(_limits(p), C, F.col("rows"), 3)
+    runs = designs.lhs_runs(_limits(p), C, F.col("rows"), 3, max_runs=50)
     near = neighbours.knn(runs, p, 1, C, "run", "point_id")
     return p, neighbours.first_occurrence(near, C)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrial.operators import difficulty, generate, prep, stats
+from fieldtrial.operators import generate, prep, stats
 from fieldtrial.operators.campaign_models import campaign_posterior
+from fieldtrial.operators.neighbours import knn
 from fieldtrial.operators.selection import select_batch
 from fieldtrial.plans import protocols
 from fieldtrial.sources import catalog
@@ -75,14 +76,16 @@ def gp_round(spark, sf):
 
 @query("m23_open_race")
 def race(spark, sf):
-    """Open Race over the range of every brand, on a noisy surface with jumps."""
-    limits = stats.bounds(pool(spark, sf), C)
+    """Open Race over the range of every brand; a point's value is that of the nearest part."""
+    known = pool(spark, sf)
+    limits = stats.bounds(known, C)
 
     def evaluate(df):
-        u = F.transform("x", lambda v: v / 100)
-        base = df.withColumn("y", -F.aggregate(u, F.lit(0.0), lambda a, v: a + (v - 3) * (v - 3)))
-        noisy = difficulty.add_noise(base, 0.1, ["race", F.col("campaign"), F.col("point_id")])
-        return difficulty.threshold_jumps(noisy, 2)
+        near = knn(df.withColumnRenamed("point_id", "query_id"), known, 1, C)
+        value = near.join(known.select("campaign", "point_id", "y"), ["campaign", "point_id"])
+        return df.join(
+            value.select("campaign", F.col("query_id").alias("point_id"), "y"), ["campaign", "point_id"]
+        )
 
     def by_first(hidden, observed):
         return hidden.withColumn("score", F.col("x")[0])

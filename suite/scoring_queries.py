@@ -9,7 +9,7 @@ from fieldtrial.plans import rounds
 
 from .generation_queries import split_sql
 from .inputs import POOL, POOL3, PREDICTIONS, VECTORS, pool, pool3, predictions, rounded, vectors
-from .registry import query, s_cdf, s_normal, s_pdf, table
+from .registry import query, s_cdf, s_hash, s_normal, s_pdf, table
 
 C = ["campaign"]
 
@@ -322,7 +322,7 @@ def _kernel(spark, sf, fit):
     """Fit on all vectors with 50 inducing points and predict them; compared in the tests."""
     v = vectors(spark, sf)
     z = models.inducing_points(v, 50)
-    return fit(v, z).predict(v).select("vec_id", "y", "mean", "std")
+    return fit(v, z, length=8.0).predict(v).select("vec_id", "y", "mean", "std")
 
 
 @query("m5_nystrom")
@@ -353,15 +353,70 @@ def m8(spark, sf):
     import numpy as np
 
     p = pool(spark, sf).withColumn("x", F.slice("x", 1, 1))
-    model = models.fit_vfe(p, np.array([[25.0]]), length=20.0)
+    model = models.fit_vfe(p, np.array([[25.0]]), length=20.0, standardize=False)
+    return rounded(model.predict(p).select("campaign", "point_id", "mean", "std"))
+
+
+# One inducing point (25, 1500) on standardized rows: the sums of both models have one entry.
+_SCALED = f"""WITH {{POOL}}, s AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2,
+      stddev_pop(x2) AS s2, avg(y) AS my, stddev_pop(y) AS sy FROM pool),
+    k AS (SELECT campaign, point_id, exp(-0.5::DOUBLE * (power((x1 - 25) / s1, 2)
+      + power((x2 - 1500) / s2, 2))) AS k, (y - my) / sy AS y, my, sy FROM pool, s)"""
+
+
+@query(
+    "m7_vfe_raw_pool",
+    _SCALED.format(POOL=POOL) + """, f AS (SELECT sum(k * k) AS a, sum(k * y) AS b FROM k)
+    SELECT campaign, point_id, round(k * b / (a + 0.1::DOUBLE * (1 + 1e-6::DOUBLE)) * sy + my, 6) AS mean,
+    round(sqrt(greatest(1 - k * k / (1 + 1e-6::DOUBLE) + 0.1::DOUBLE, 1e-6::DOUBLE)) * sy, 6) AS std
+    FROM k, f""",
+)
+def m7_raw(spark, sf):
+    """The variational model in the units of the pool."""
+    return _raw_pool(spark, sf, models.fit_vfe)
+
+
+@query(
+    "m5_nystrom_raw_pool",
+    _SCALED.format(POOL=POOL) + """, f AS (SELECT sum(k * k) AS a, sum(k * y) AS b FROM k)
+    SELECT campaign, point_id, round(k * b / (a + 0.1::DOUBLE * 1.1::DOUBLE) * sy + my, 6) AS mean,
+    round(sqrt(0.1::DOUBLE) * sy, 6) AS std FROM k, f""",
+)
+def m5_raw(spark, sf):
+    """The Nyström model in the units of the pool."""
+    return _raw_pool(spark, sf, models.fit_nystrom)
+
+
+@query(
+    "m6_fitc_raw_pool",
+    _SCALED.format(POOL=POOL) + """, w AS (SELECT *, 1 / (greatest(1 - k * k, 1e-6::DOUBLE) + 0.1::DOUBLE) AS w FROM k),
+    f AS (SELECT sum(k * k * w) AS a, sum(k * y * w) AS b FROM w)
+    SELECT campaign, point_id, round(k * b / (a + 1) * sy + my, 6) AS mean,
+    round(sqrt(greatest(1 - k * k + 0.1::DOUBLE, 1e-6::DOUBLE)) * sy, 6) AS std FROM w, f""",
+)
+def m6_raw(spark, sf):
+    """The weighted model in the units of the pool."""
+    return _raw_pool(spark, sf, models.fit_fitc)
+
+
+def _raw_pool(spark, sf, fit):
+    import numpy as np
+
+    p = pool(spark, sf)
+    model = fit(p, np.array([[25.0, 1500.0]]))
     return rounded(model.predict(p).select("campaign", "point_id", "mean", "std"))
 
 
 @query(
     "m9_median_distance",
-    f"""WITH {VECTORS}, kept AS (SELECT * FROM vectors), pairs AS (
+    f"""WITH {VECTORS}, placed AS (SELECT *, row_number() OVER (
+        ORDER BY {s_hash("'42'", "vec_id")}, vec_id) AS at, count(*) OVER () AS n FROM vectors),
+    drawn AS (SELECT ({s_hash("'42'", "'i'", "r")} * 1048576 + {s_hash("'42'", "'i'", "r", "'low'")} % 1048576)
+          % n + 1 AS i, ({s_hash("'42'", "'j'", "r")} * 1048576 + {s_hash("'42'", "'j'", "r", "'low'")} % 1048576)
+          % n + 1 AS j FROM (SELECT unnest(range(20000)) AS r), (SELECT any_value(n) AS n FROM placed)),
+    pairs AS (
       SELECT sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: power(p[1] - p[2], 2)))) AS d
-      FROM kept a JOIN kept b ON a.vec_id < b.vec_id)
+      FROM drawn JOIN placed a ON a.at = i JOIN placed b ON b.at = j)
     SELECT round(median(d), 6) AS median_distance FROM pairs WHERE d > 0""",
 )
 def m9(spark, sf):
@@ -414,7 +469,7 @@ def _by_size(hidden, observed):
 )
 def m23(spark, sf):
     history = rounds.run_rounds(
-        pool(spark, sf), _start(spark, sf, 0.5), _by_size, C, batch=5, cap=1000
+        pool(spark, sf), _start(spark, sf, 0.5), _by_size, C, batch=5
     )
     return rounded(history.select("campaign", "point_id", "step", "batch_position", "value"))
 
@@ -434,5 +489,5 @@ def _local_mean(hidden, observed):
 @query("m23_adaptive_rounds")
 def m23_adaptive(spark, sf):
     p = pool(spark, sf)
-    history = rounds.run_rounds(p, _start(spark, sf, 0.9), _local_mean, C, batch=20, cap=2)
+    history = rounds.run_rounds(p, _start(spark, sf, 0.9), _local_mean, C, batch=20)
     return rounds.outcomes(history, p, C)

@@ -99,5 +99,8 @@ def test_judge_request(spark):
         "`Experimental Conditions/Methods Description` string, Buffer string, pH string, `Protein concentration` string",
     )
     text = curation.build_judge_request(df).first()["request"]
-    assert "d" * 2000 in text and "d" * 2001 not in text
+    assert "d" * 3000 in text
+    cut = curation.build_judge_request(df, max_chars=2000).first()
+    assert "d" * 2000 in cut["request"] and "d" * 2001 not in cut["request"]
+    assert cut["system"] == curation.JUDGE_SYSTEM
     assert '- Buffer: "{ph}"' in text and '- pH: "7"' in text and '- Protein concentration: ""' in text

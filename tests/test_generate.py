@@ -66,8 +66,8 @@ def test_result_does_not_depend_on_partitions(pool):
 
 
 def test_subsample(spark):
-    assert generate.subsample(spark.range(1500), "id", 1).count() == 1500
-    assert generate.subsample(spark.range(1501), "id", 1).count() == 600
+    assert generate.subsample(spark.range(1501), "id", 1, 600).count() == 600
+    assert generate.subsample(spark.range(500), "id", 1, 600).count() == 500
 
 
 def test_seeds(spark):

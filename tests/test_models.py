@@ -26,7 +26,7 @@ def test_nystrom_equals_the_full_system(data):
     kmm, knm = models.rbf(z, z) + noise * np.eye(15), models.rbf(X, z)
     q = knm @ np.linalg.solve(kmm, knm.T) + noise * np.eye(len(X))
     expected = knm @ np.linalg.solve(kmm, knm.T @ np.linalg.solve(q, Y))
-    mean, std = predicted(models.fit_nystrom(data, z), data)
+    mean, std = predicted(models.fit_nystrom(data, z, standardize=False), data)
     np.testing.assert_allclose(mean, expected, atol=1e-8)
     np.testing.assert_allclose(std, np.sqrt(0.1))
 
@@ -37,16 +37,27 @@ def test_fitc_and_vfe_equal_their_formulas(data):
     inv = np.linalg.inv(kmm)
     missed = np.maximum(1 - np.sum(knm * (inv @ knm.T).T, axis=1), 1e-6) + noise
     w = np.linalg.solve(knm.T @ (knm / missed[:, None]) + inv, knm.T @ (Y / missed))
-    mean, std = predicted(models.fit_fitc(data, z), data)
+    mean, std = predicted(models.fit_fitc(data, z, standardize=False), data)
     np.testing.assert_allclose(mean, knm @ w, atol=1e-6)
     var = np.maximum(1 - np.sum(knm * (inv @ knm.T).T, axis=1) + noise, 1e-6)
     np.testing.assert_allclose(std, np.sqrt(var), atol=1e-6)
     kj = kmm + 1e-6 * np.eye(15)
     w = np.linalg.solve(knm.T @ knm + noise * kj, knm.T @ Y)
-    mean, _ = predicted(models.fit_vfe(data, z), data)
+    mean, _ = predicted(models.fit_vfe(data, z, standardize=False), data)
     np.testing.assert_allclose(mean, knm @ w, atol=1e-6)
 
 
+def test_standardized_models_do_not_depend_on_units(data):
+    z = X[:15]
+    moved = data.withColumn("x", F.transform("x", lambda v: v * 500 + 2000)).withColumn("y", F.col("y") * 30 + 1027)
+    for fit in (models.fit_nystrom, models.fit_fitc, models.fit_vfe):
+        mean, std = predicted(fit(data, z), data)
+        far, wide = predicted(fit(moved, z * 500 + 2000), moved)
+        np.testing.assert_allclose(far, mean * 30 + 1027, rtol=1e-6)
+        np.testing.assert_allclose(wide, std * 30, rtol=1e-6)
+        assert np.abs(mean - Y).mean() < 0.5 * np.abs(Y - Y.mean()).mean()
+
+
 def test_quadratic_recovers_a_quadratic(data, spark):
     exact = data.withColumn("y", 1 + 2 * F.col("x")[0] - F.col("x")[1] * F.col("x")[2] + F.pow(F.col("x")[0], 2))
     out = models.fit_quadratic(exact).predict(exact).toPandas()
@@ -71,7 +82,8 @@ def test_median_distance_ignores_zeros(spark):
     df = spark.createDataFrame(
         [(1, [0.0]), (2, [0.0]), (3, [1.0]), (4, [5.0])], "id long, x array<double>"
     )
-    assert models.median_distance(df, "id").first()[0] == 4.0
+    # Distances 1, 1, 4, 4, 5, 5 and zeros: the pairs are drawn, and 4 is in the middle of many.
+    assert models.median_distance(df, "id", 4000).first()[0] == 4.0
     same = spark.createDataFrame([(1, [2.0, 2.0]), (2, [2.0, 2.0])], "id long, x array<double>")
     assert models.median_distance(same, "id").first()[0] == pytest.approx(2**0.5)
 
