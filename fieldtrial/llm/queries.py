@@ -97,7 +97,8 @@ def op2_quality_rules(spark, sf_dir):
 # The prefixes are compared as whole texts.
 OP7_SQL = """
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
     '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS body
   FROM conversations
 ), p AS (
