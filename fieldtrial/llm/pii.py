@@ -74,7 +74,7 @@ def luhn(number: Column) -> Column:
     """Whether a string of digits passes the Luhn test."""
 
     def value(n: Column, i: Column) -> Column:
-        digit = F.substring(n, -i, F.lit(1)).cast("int")
+        digit = F.substring(n, -i, F.lit(1)).try_cast("int")
         twice = digit * 2
         doubled = F.when(twice > 9, twice - 9).otherwise(twice)
         return F.when(i % 2 == 0, doubled).otherwise(digit)
