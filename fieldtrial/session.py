@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side with at most this many rows may be broadcast.
+# A side with at most this many rows, in files of at most this size, may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 # A key with more rows than this is not left to one task.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
@@ -66,6 +67,14 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """The size of the files that a written table reads."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(name) for name in df.inputFiles()]
+    return sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
+
+
 def join_small(
     df: DataFrame,
     small: DataFrame,
@@ -78,13 +87,14 @@ def join_small(
     """Join rows with per-key values, without ever sending a hot key to one task.
 
     ``small`` is computed once into the shared folder (``computed`` says it already is) and counted
-    there; up to ``max_rows`` rows it is broadcast. A larger side is joined by shuffle, except for
-    the keys that hold more than ``hot_rows`` rows and a ten-thousandth of ``df``: there are at
-    most ``MAX_HOT_KEYS`` of them, and their values are broadcast.
+    there; up to ``max_rows`` rows and ``BROADCAST_BYTES`` of files it is broadcast. A larger side
+    is joined by shuffle, except for the keys that hold more than ``hot_rows`` rows and a
+    ten-thousandth of ``df``: there are at most ``MAX_HOT_KEYS`` of them, and their values are
+    broadcast where they are small enough.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     side = small if computed else cut_lineage(small, "side")
-    if side.count() <= max_rows:
+    if table_bytes(side) <= BROADCAST_BYTES and side.count() <= max_rows:
         return df.join(F.broadcast(side), keys, how)
     limit = max(hot_rows, df.count() // MAX_HOT_KEYS)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -92,7 +102,10 @@ def join_small(
     if hot.isEmpty():
         return df.join(side, keys, how)
     hot = F.broadcast(hot)
-    few = F.broadcast(side.join(hot, keys, "left_semi"))
+    few = cut_lineage(side.join(hot, keys, "left_semi"), "few")
+    if table_bytes(few) > BROADCAST_BYTES:
+        return df.join(side, keys, how)
+    few = F.broadcast(few)
     crowded = df.join(hot, keys, "left_semi").join(few, keys, how)
     rest = df.join(hot, keys, "left_anti").join(side, keys, how)
     return crowded.unionByName(rest)
