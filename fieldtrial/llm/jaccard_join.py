@@ -156,6 +156,42 @@ def may_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int) -> bool:
     return int(np.count_nonzero(x != y)) <= most_differences(n_a, n_b, percent)
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(hub, pack) of rows (hub, f, n, sketch, root): packs of BLOCK rows on average."""
+    sizes = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("f"), F.col("blocks"))
+    packs = rows.join(sizes, "hub").groupBy("hub", block.alias("block"))
+    return packs.agg(F.collect_list(F.struct("f", "n", "sketch", "root")).alias("pack")).drop("block")
+
+
+def _by_length(pack: list) -> list[tuple[np.ndarray, ...]]:
+    """The ids, sizes, roots and sketches of a pack, by sketch length."""
+    out = []
+    for length in {len(r["sketch"]) for r in pack}:
+        own = [r for r in pack if len(r["sketch"]) == length]
+        matrix = np.frombuffer(b"".join(r["sketch"] for r in own), np.uint8).reshape(-1, length)
+        out.append((*(np.array([r[k] for r in own]) for k in ("f", "n", "root")), matrix))
+    return out
+
+
+def block_pairs(a: list, b: list, percent: int):
+    """The pairs (x < y) of two packs with different roots that ``may_link`` lets pass."""
+    for ids_a, n_a, roots_a, x in _by_length(a):
+        for ids_b, n_b, roots_b, y in _by_length(b):
+            u, v = x, y
+            while u.shape[1] > v.shape[1]:
+                u = u[:, ::2] + u[:, 1::2]
+            while v.shape[1] > u.shape[1]:
+                v = v[:, ::2] + v[:, 1::2]
+            most = (n_a[:, None] + n_b[None, :]) * (100 - percent) // (100 + percent)
+            least, largest = np.minimum.outer(n_a, n_b), np.maximum.outer(n_a, n_b)
+            differ = np.stack([np.count_nonzero(v != row, axis=1) for row in u])
+            near = (differ <= most) & (100 * least >= percent * largest)
+            near &= roots_a[:, None] != roots_b[None, :]
+            for i, j in zip(*np.nonzero(near)):
+                yield int(min(ids_a[i], ids_b[j])), int(max(ids_a[i], ids_b[j]))
+
+
 def _batch(schema: str, rows: list) -> pa.RecordBatch:
     kinds = {
         "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
@@ -256,9 +292,10 @@ class Join:
         percent = self.percent
         nodes = likely.select(F.explode(F.array("x", "y")).alias("f"))
         sets = self.sets_of(nodes, f"{name}-sets")
-        both = likely.join(sets.select(F.col("f").alias("x"), F.col("own").alias("a")), "x").join(
-            sets.select(F.col("f").alias("y"), F.col("own").alias("b")), "y"
-        )
+        first = sets.select(F.col("f").alias("x"), F.col("own").alias("a"))
+        second = sets.select(F.col("f").alias("y"), F.col("own").alias("b"))
+        both = join_sized(likely, first, ["x"], "inner", self.scratch, f"{name}-sets")
+        both = join_sized(both, second, ["y"], "inner", self.scratch, f"{name}-sets")
 
         def test(batches):
             for batch in batches:
@@ -308,16 +345,18 @@ class Join:
         rated = self.scratch.write(rated.join(open_hubs, "hub", "left_semi"), "open")
         if rated.isEmpty():
             return found
-        return found.unionByName(self.refined(rated))
+        return self.refined(found, rated)
 
-    def refined(self, rated: DataFrame) -> DataFrame:
-        """The further links of large groups, given as (hub, f, linked)."""
+    def refined(self, found: DataFrame, rated: DataFrame) -> DataFrame:
+        """Links that connect what ``found`` and the large groups, given as (hub, f, linked), do."""
         percent = self.percent
         nodes = rated.select("f").union(rated.select("hub").distinct())
         sets = self.sets_of(nodes, "open-sets")
-        both = rated.join(sets, "f").join(
-            sets.select(F.col("f").alias("hub"), F.col("own").alias("hub_own")), "hub"
+        of_hubs = sets.join(rated.select(F.col("hub").alias("f")).distinct(), "f", "left_semi")
+        of_hubs = self.scratch.write(
+            of_hubs.select(F.col("f").alias("hub"), F.col("own").alias("hub_own")), "hub-sets"
         )
+        both = join_sized(rated.join(sets, "f"), of_hubs, ["hub"], "inner", self.scratch, "hub-sets")
         schema = "hub long, f long, tokens array<long>"
 
         def prefix(batches):
@@ -339,37 +378,33 @@ class Join:
         keyed = members.select(F.xxhash64("hub", "token").alias("key"), "f", F.col("hub").alias("_hub"))
         pairs, large = self.groups(keyed.select("key", "f"), "second")
         near = self.verified(pairs, "second")
-        # Large groups again: those linked with the hub are one component; the others are compared
-        # with every member of their hub's large groups, in blocks.
+        # Large groups again: members that are not yet in their hub's component are compared with
+        # every member of the hub's large groups that is in another one, in blocks.
+        stars = connect(found.unionByName(near), self.scratch)
+        roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
         keys = large.select("key").distinct()
-        still = self.scratch.write(
-            keyed.join(keys, "key", "left_semi").select(F.col("_hub").alias("hub"), "f").distinct(), "still"
-        )
-        marked = still.join(rated, ["hub", "f"]).join(self.classes.select("f", "n", "sketch"), "f")
-        marked = self.scratch.write(marked.select("hub", "f", "linked", "n", "sketch"), "marked")
-        others = marked.where("not linked")
-        blocks = others.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        block = F.pmod(F.xxhash64("f"), F.col("blocks")).alias("block")
-        packs = others.join(blocks, "hub").groupBy("hub", block).agg(
-            F.collect_list(F.struct("f", "n", "sketch")).alias("pack")  # BLOCK rows on average
-        )
-        crossed = marked.select("hub", "f", "n", "sketch").join(packs, "hub")
+        still = keyed.join(keys, "key", "left_semi").select(F.col("_hub").alias("hub"), "f").distinct()
+        still = still.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
+        hub_roots = roots.select(F.col("f").alias("hub"), F.col("root").alias("hub_root"))
+        still = still.join(hub_roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+        still = self.scratch.write(still, "still")
+        apart = still.where("root <> hub_root").select("hub").distinct()
+        marked = still.join(apart, "hub", "left_semi").join(self.classes.select("f", "n", "sketch"), "f")
+        marked = self.scratch.write(marked.select("hub", "f", "n", "sketch", "root", "hub_root"), "marked")
+        connected = stars.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
+        if marked.isEmpty():
+            return connected
+        others = _blocks(marked.where("root <> hub_root")).withColumnRenamed("pack", "others")
+        crossed = _blocks(marked).join(others, "hub").select("pack", "others")
 
         def compare(batches):
             for batch in batches:
-                rows = []
-                columns = (batch.column(k).to_pylist() for k in ("f", "n", "sketch", "pack"))
-                for f, n, own, pack in zip(*columns):
-                    rows += [
-                        (min(f, o["f"]), max(f, o["f"]))
-                        for o in pack
-                        if o["f"] != f and may_link(n, own, o["n"], o["sketch"], percent)
-                    ]
-                yield _batch("x long, y long", rows)
+                for a, b in zip(*(batch.column(k).to_pylist() for k in ("pack", "others"))):
+                    yield _batch("x long, y long", list(block_pairs(a, b, percent)))
 
-        likely = crossed.select("f", "n", "sketch", "pack").mapInArrow(compare, "x long, y long")
+        likely = crossed.mapInArrow(compare, "x long, y long")
         likely = self.scratch.write(likely.distinct(), "third-likely")
-        return near.unionByName(self.exact(likely, "third"))
+        return connected.unionByName(self.exact(likely, "third"))
 
     def components(self, links: DataFrame) -> DataFrame:
         """(f, component): the smallest doc_id that links reach, for every linked class."""
