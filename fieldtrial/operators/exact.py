@@ -30,6 +30,9 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
 
 
+NO_GROUP_IS_HOT = 2**62
+
+
 def agg_with_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -102,8 +105,10 @@ def order_statistics(
     ``targets`` has the keys, ``_n`` (rows of the group), ``slot`` and ``positions``, an array of
     0-based positions. The result has one row per key, slot and position. Equal values are
     counted, not repeated. In a group above ``hot_rows`` only the values inside a sketched
-    bracket are kept, together with an exact count of those below it.
+    bracket are kept, together with an exact count of those below it. A slot whose bracket missed
+    a position is solved again over all values of its group.
     """
+    whole = df.where(F.col(value).isNotNull())
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     targets = targets.withColumn("_first", F.array_min("positions")).withColumn(
         "_last", F.array_max("positions")
@@ -134,9 +139,21 @@ def order_statistics(
     )
     wanted = targets.select(*slot_keys, "positions")
     hit = F.filter("positions", lambda p: (p >= F.col("_lo")) & (p < F.col("_hi")))
-    return join_small(near, wanted, slot_keys).select(
+    found = join_small(near, wanted, slot_keys).select(
         *slot_keys, F.explode(hit).alias("position"), F.col("_v").alias("value")
     )
+    if hot.isEmpty():
+        return found
+    found = cut_lineage(found, "found")
+    asked = targets.select(*slot_keys, F.explode("positions").alias("position"))
+    missed = cut_lineage(
+        asked.join(found, [*slot_keys, "position"], "left_anti").select(*slot_keys).distinct(), "missed"
+    )
+    if missed.isEmpty():
+        return found
+    again = targets.drop("_first", "_last").join(missed, slot_keys, "left_semi")
+    solved = order_statistics(whole, keys, value, again, NO_GROUP_IS_HOT)
+    return found.join(missed, slot_keys, "left_anti").unionByName(solved)
 
 
 def _bracketed(

@@ -465,9 +465,33 @@ def m24(spark, sf):
     return designs.steps_from_order(order, generate.target_points(p, C), C, 1)
 
 
-@query("j7_match_design")
+def greedy_sql(source: str) -> str:
+    """Three-level design of three factors over ``source``, its runs matched in order (``greedy``)."""
+    levels = ("run % 3", "run // 3 % 3", "run // 9 % 3")
+    place = ", ".join(
+        f"a{j} + ({c}) / 2.0::DOUBLE * (b{j} - a{j}) AS r{j}" for j, c in enumerate(levels, 1)
+    )
+    return f"""span AS (SELECT campaign, min(x1) a1, max(x1) b1, min(x2) a2, max(x2) b2, min(x3) a3,
+      max(x3) b3 FROM {source} GROUP BY 1),
+    grid AS (SELECT campaign, run, {place} FROM span, (SELECT unnest(range(27)) AS run)),
+    nearest AS (SELECT g.campaign, g.run, p.point_id, row_number() OVER (PARTITION BY g.campaign, g.run
+        ORDER BY sqrt(power(r1 - x1, 2) + power(r2 - x2, 2) + power(r3 - x3, 2)), p.point_id) AS nn
+      FROM grid g JOIN {source} p ON g.campaign = p.campaign QUALIFY nn <= 10),
+    choices AS (SELECT campaign, run, list(point_id ORDER BY nn) AS c FROM nearest GROUP BY 1, 2),
+    greedy AS (SELECT DISTINCT campaign, -1::BIGINT AS run, NULL::BIGINT AS point_id, []::BIGINT[] AS used
+        FROM choices
+      UNION ALL
+      SELECT campaign, run, pick, list_append(used, pick) FROM (SELECT l.campaign, l.run, g.used,
+          coalesce(list_filter(l.c, lambda p: NOT list_contains(g.used, p))[1], l.c[1]) AS pick
+        FROM greedy g JOIN choices l ON l.campaign = g.campaign AND l.run = g.run + 1))"""
+
+
+@query(
+    "j7_match_design",
+    f"WITH RECURSIVE {POOL3}, {greedy_sql('pool')} SELECT campaign, run, point_id FROM greedy WHERE run >= 0",
+)
 def j7(spark, sf):
-    """Greedy unique matching of a full factorial design; checked against brute force in tests."""
+    """Greedy unique matching of a full factorial design."""
     p = pool3(spark, sf)
     return neighbours.match_design(designs.full_factorial(stats.bounds(p, C), C, 3), p, C)
 

@@ -11,8 +11,8 @@ from fieldtrial.operators.selection import select_batch
 from fieldtrial.plans import protocols
 from fieldtrial.sources import catalog
 
-from .generation_queries import split_sql
-from .inputs import POOL, pool, pool3, rounded
+from .generation_queries import greedy_sql, split_sql
+from .inputs import POOL, POOL3, pool, pool3, rounded
 from .registry import query, s_hash, table
 
 C = ["campaign"]
@@ -45,9 +45,20 @@ def htl_random(spark, sf):
     return protocols.hide_the_label_order(pool(spark, sf), "RANDOM", C, 2, 0.95, batch=10)
 
 
-@query("m23_hide_the_label_design")
+@query(
+    "m23_hide_the_label_design",
+    f"""WITH RECURSIVE {POOL3}, {split_sql("0.95", "42")}, hid AS (SELECT * FROM split WHERE hidden),
+    {greedy_sql("hid")},
+    pos AS (SELECT h.campaign, h.is_target, row_number() OVER (PARTITION BY h.campaign
+      ORDER BY CASE WHEN f.point_id IS NULL THEN 1 ELSE 0 END,
+      {s_hash("'42'", "'order'", "h.campaign", "h.point_id")}, h.point_id) AS position
+      FROM hid h LEFT JOIN (SELECT DISTINCT campaign, point_id FROM greedy WHERE run >= 0) f
+      ON h.campaign = f.campaign AND h.point_id = f.point_id)
+    SELECT campaign, position, CAST(ceil(position / 10.0) AS BIGINT) AS steps_to_target
+    FROM pos WHERE is_target""",
+)
 def htl_design(spark, sf):
-    """Full factorial strategy; its matching is greedy and is compared in the tests."""
+    """Full factorial strategy."""
     return protocols.hide_the_label_order(pool3(spark, sf), "FULL_FACTORIAL", C, 3, 0.95, batch=10)
 
 

@@ -75,3 +75,15 @@ def test_twelve_factors(spark):
     assert designs.fractional_factorial(limits, ["campaign"], 12, 2, max_runs=99).count() == 99
     with pytest.raises(ValueError):
         designs.full_factorial(limits, ["campaign"], 64, 3)
+
+
+def test_a_missed_bracket_is_solved_again(spark, monkeypatch):
+    from fieldtrial.operators import exact
+
+    def misses(data, keys, narrow, hot):
+        return data.join(narrow, list(keys)).where("_v < 100")
+
+    df = spark.range(1000).select(F.lit("g").alias("k"), F.col("id").cast("double").alias("v"))
+    monkeypatch.setattr(exact, "_bracketed", misses)
+    got = exact.exact_quantiles(df, ["k"], "v", {"low": 0.05, "high": 0.9}, hot_rows=10).first()
+    assert got.low == pytest.approx(49.95) and got.high == pytest.approx(899.1)
