@@ -17,17 +17,36 @@ from fieldtrial.llm.packing import pack_documents
 from fieldtrial.llm.toxicity import toxicity
 
 _KEEP = ("doc_id", "text")
+_held: list[Scratch] = []
+
+
+def _tables(spark: SparkSession, docs: DataFrame) -> Scratch:
+    """Scratch tables for a stage.
+
+    Those of the stages before are dropped, as their results have been written, unless ``docs``
+    still reads them.
+    """
+    read = docs.inputFiles()
+    for old in list(_held):
+        if old.spark is not spark:
+            _held.remove(old)
+        elif not any(path.rsplit("/", 1)[-1] in name for name in read for path in old.paths.values()):
+            old.drop()
+            _held.remove(old)
+    _held.append(Scratch(spark))
+    return _held[-1]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject."""
-    scored = toxicity(pack(docs, *_KEEP), read_table(spark, sf_dir, "labels"))
+    labels = read_table(spark, sf_dir, "labels")
+    scored = toxicity(pack(docs, *_KEEP), labels, scratch=_tables(spark, docs))
     return scored.where("predicted = 0").select(*unpack(scored, docs.columns, *_KEEP))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated line runs; a document with nothing left goes."""
-    done = line_dedup(pack(docs, *_KEEP)).where("not removed_all")
+    done = line_dedup(pack(docs, *_KEEP), scratch=_tables(spark, docs)).where("not removed_all")
     columns = dict(zip(docs.columns, unpack(done, docs.columns, *_KEEP)))
     if "n_chars" in columns:
         kind = dict(docs.dtypes)["n_chars"]
@@ -38,17 +57,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the smallest doc_id."""
-    return one_of_each(docs)
+    return one_of_each(docs, scratch=_tables(spark, docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"), scratch=_tables(spark, docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and places."""
-    return pack_documents(docs)
+    return pack_documents(docs, scratch=_tables(spark, docs))
 
 
 STAGES = [

@@ -91,16 +91,18 @@ def band_of(n: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def allocation(band: int, percent: int) -> tuple[int, int]:
-    """(segments, how many of them also match with one element less), the cheapest that suffice.
+def allocation(band: int, percent: int) -> tuple[int, int, int]:
+    """(segments, how many of them also match with one element less, spare segments).
 
-    ones + 2 twos must exceed the differences of the band's largest pair. The cost is that of the
-    signatures and of the matches by chance, which halve with every element of a segment.
+    ones + 2 twos must exceed the differences of the band's largest pair; of the choices that do,
+    the cheapest. The cost is that of the signatures and of the matches by chance, which halve with
+    every element of a segment. Spare segments of the first kind make up for those that are empty
+    in a set of the band's least size, so that hardly a set needs to meet others by emptiness.
     """
     top = band_start(band + 1) - 1
     most = most_differences(top, top * 100 // percent, percent)
     if most == 0:
-        return 0, 0  # only equal sets
+        return 0, 0, 0  # only equal sets
 
     def cost(twos: int) -> float:
         segments = max(most + 1 - 2 * twos, 0) + twos
@@ -108,7 +110,12 @@ def allocation(band: int, percent: int) -> tuple[int, int]:
         return segments + twos * size + CHANCE_COST * segments * 2.0**-size
 
     twos = min(range((most + 2) // 2 + 1), key=cost)
-    return max(most + 1 - 2 * twos, 0) + twos, twos
+    segments, spare, least = max(most + 1 - 2 * twos, 0) + twos, 0, band_start(band)
+    for spare in range(segments + 1):
+        empty = (segments + spare) * (1 - 1 / (segments + spare)) ** least
+        if spare >= empty + 2 * empty**0.5:
+            break
+    return segments + spare, twos, spare
 
 
 def signatures(own: np.ndarray, percent: int) -> np.ndarray:
@@ -120,7 +127,7 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     for band in (home, home - 1):
         if band < 0 or (band < home and (band_start(band + 1) - 1) * 100 < percent * len(own)):
             continue
-        segments, twos = allocation(band, percent)
+        segments, twos, spare = allocation(band, percent)
         if not segments:
             continue
         at = ((own >> _U(32)) % _U(segments)).astype(np.int64)
@@ -128,9 +135,16 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
         total = np.zeros(segments, dtype=_U)
         np.add.at(total, at, element)
         salt = mix(np.arange(segments, dtype=_U) + _U(band * 1_000_003 + 17))
-        out.append(mix(total + salt))
+        held = np.bincount(at, minlength=segments)
+        # Segments by which the set could only meet others because nothing is left in them. With no
+        # more than ``spare`` of them, every similar set is met by another segment.
+        lost = 2 * np.count_nonzero(held[:twos] <= 1) + np.count_nonzero(held[twos:] == 0)
+        full = held > 0 if lost <= spare else held >= 0
+        out.append(mix(total + salt)[full])
         if twos:
             fewer = at < twos
+            if lost <= spare:
+                fewer &= held[at] > 1
             out.append(mix(total[at[fewer]] - element[fewer] + salt[at[fewer]]))
     return np.concatenate(out) if out else own[:0]
 
@@ -265,7 +279,9 @@ class Join:
                 yield _batch("f long, own binary", rows)
 
         found = self.docs.join(side, same).select("f", "text").mapInArrow(read, "f long, own binary")
-        return self.scratch.write(found, name)
+        sets = self.scratch.write(found, name)
+        self.scratch.drop(f"{name}-keys")
+        return sets
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (x, y) of classes whose sets are similar: first by sketch, then exactly."""
@@ -286,6 +302,7 @@ class Join:
                 yield _batch("x long, y long", rows)
 
         likely = self.scratch.write(both.mapInArrow(sift, "x long, y long").distinct(), f"{name}-likely")
+        self.scratch.drop(f"{name}-pairs")
         return self.exact(likely, name)
 
     def exact(self, likely: DataFrame, name: str) -> DataFrame:
@@ -307,18 +324,18 @@ class Join:
                 yield _batch("x long, y long", rows)
 
         links = both.select("x", "y", "a", "b").mapInArrow(test, "x long, y long")
-        return self.scratch.write(links, f"{name}-links")
+        links = self.scratch.write(links, f"{name}-links")
+        self.scratch.drop(f"{name}-sets", f"{name}-likely")
+        return links
 
-    def groups(self, members: DataFrame, name: str):
+    def groups(self, members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Pairs (x, y) from the small groups of ``members`` (key, f), and the rows of the large
-        ones as (key, f, hub)."""
-        stats = members.groupBy("key").agg(
-            F.min("f").alias("lo"), F.max("f").alias("hi"), F.count(F.lit(1)).alias("met")
-        )
-        stats = self.scratch.write(stats.where("lo <> hi"), f"{name}-met")
-        two = stats.where("met = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y"))
-        many = self.scratch.write(stats.where("met > 2").select("key", "lo", "met"), f"{name}-many")
-        rows = self.scratch.write(join_sized(members, many, ["key"], "inner", self.scratch, f"{name}-many"), f"{name}-rows")
+        ones as (key, f)."""
+        met = members.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+        met = self.scratch.write(met, f"{name}-met")
+        rows = join_sized(members, met, ["key"], "inner", self.scratch, f"{name}-met")
+        rows = self.scratch.write(rows, f"{name}-rows")
+        self.scratch.drop(f"{name}-met")
         small = rows.where(f"met <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_set("f")).alias("all"))
         pairs = F.flatten(
             F.transform(
@@ -329,29 +346,37 @@ class Join:
             )
         )
         listed = small.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
-        large = rows.where(f"met > {SMALL}").select("key", "f", F.col("lo").alias("hub"))
-        return two.unionByName(listed).distinct(), large
+        return listed.distinct(), rows.where(f"met > {SMALL}").select("key", "f")
 
     def links(self) -> DataFrame:
         """Pairs (x, y) of similar classes that connect all that similar pairs connect."""
         first = self.classes.select(F.explode("sigs").alias("key"), "f")
         pairs, large = self.groups(first, "first")
-        spokes = large.where("f <> hub").select(F.col("hub").alias("x"), F.col("f").alias("y")).distinct()
-        found = self.verified(pairs.unionByName(spokes), "first")
-        linked = found.select(F.col("x").alias("hub"), F.col("y").alias("f"), F.lit(True).alias("linked"))
-        rated = spokes.select(F.col("x").alias("hub"), F.col("y").alias("f")).join(linked, ["hub", "f"], "left")
+        # The hub of a group is the member of the most large groups: the text the others stem from.
+        ranked = large.join(large.groupBy("f").agg(F.count(F.lit(1)).alias("degree")), "f")
+        hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "f"))["f"].alias("hub"))
+        spokes = large.join(hubs, "key").where("f <> hub").select("hub", "f").distinct()
+        spokes = self.scratch.write(spokes, "spokes")
+        least, most = F.least("hub", "f").alias("x"), F.greatest("hub", "f").alias("y")
+        found = self.verified(pairs.unionByName(spokes.select(least, most)), "first")
+        self.scratch.drop("first-rows")
+        linked = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.lit(True).alias("linked")).distinct()
+        same = (F.least("hub", "f") == F.col("_x")) & (F.greatest("hub", "f") == F.col("_y"))
+        rated = spokes.join(linked, same, "left")
         rated = self.scratch.write(rated.select("hub", "f", F.coalesce("linked", F.lit(False)).alias("linked")), "rated")
+        self.scratch.drop("spokes")
         open_hubs = rated.where("not linked").select("hub").distinct()
         rated = self.scratch.write(rated.join(open_hubs, "hub", "left_semi"), "open")
+        self.scratch.drop("rated")
         if rated.isEmpty():
             return found
-        return self.refined(found, rated)
+        hubs_too = rated.select("hub", F.col("hub").alias("f"), F.lit(True).alias("linked")).distinct()
+        return self.refined(found, rated.unionByName(hubs_too))
 
     def refined(self, found: DataFrame, rated: DataFrame) -> DataFrame:
         """Links that connect what ``found`` and the large groups, given as (hub, f, linked), do."""
         percent = self.percent
-        nodes = rated.select("f").union(rated.select("hub").distinct())
-        sets = self.sets_of(nodes, "open-sets")
+        sets = self.sets_of(rated, "open-sets")
         of_hubs = sets.join(rated.select(F.col("hub").alias("f")).distinct(), "f", "left_semi")
         of_hubs = self.scratch.write(
             of_hubs.select(F.col("f").alias("hub"), F.col("own").alias("hub_own")), "hub-sets"
@@ -374,6 +399,7 @@ class Join:
 
         tokens = both.select("hub", "f", "own", "hub_own").mapInArrow(prefix, schema)
         tokens = self.scratch.write(tokens, "prefixes")
+        self.scratch.drop("open-sets", "hub-sets", "open")
         members = tokens.select("hub", "f", F.explode("tokens").alias("token"))
         keyed = members.select(F.xxhash64("hub", "token").alias("key"), "f", F.col("hub").alias("_hub"))
         pairs, large = self.groups(keyed.select("key", "f"), "second")
@@ -388,6 +414,7 @@ class Join:
         hub_roots = roots.select(F.col("f").alias("hub"), F.col("root").alias("hub_root"))
         still = still.join(hub_roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
         still = self.scratch.write(still, "still")
+        self.scratch.drop("prefixes", "second-rows")
         apart = still.where("root <> hub_root").select("hub").distinct()
         marked = still.join(apart, "hub", "left_semi").join(self.classes.select("f", "n", "sketch"), "f")
         marked = self.scratch.write(marked.select("hub", "f", "n", "sketch", "root", "hub_root"), "marked")

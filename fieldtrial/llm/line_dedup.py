@@ -87,6 +87,7 @@ def repeated_runs(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFram
     # Equal rows are one document here; they are treated alike.
     lines = scratch.write(line_rows(docs.dropDuplicates(["doc_id", "text"]), min_words), "lines")
     base = repeated(lines, scratch, "round-0")
+    scratch.drop("lines", "round-0-ids")
     runs = (
         base.where("forth > 0").select("r", "h", F.col("pos").alias("start"), F.col("forth").alias("m"))
         .unionByName(
@@ -146,6 +147,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | N
     cuts = scratch.write(
         per_text.select("r", "h", F.col("cut.start").alias("_starts"), F.col("cut.m").alias("_sizes")), "cuts"
     )
+    scratch.drop(*[name for name in scratch.paths if name != "cuts"])
     rows = keyed(pack(docs, "doc_id", "text"))
     joined = join_sized(rows, cuts, ["r", "h"], "left", scratch, "cuts").drop("r", "h")
     text = joined.columns.index("text")

@@ -292,6 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     # The sample may hold the classes in another proportion than the labels do.
     usual = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     all_ = dict(usual.groupBy("toxic").count().collect())
+    scratch.drop("labelled", "words")
     beta[-1] += np.log(all_[1] / all_[0]) - np.log(sizes[1] / sizes[0])
     return model._replace(curve=beta)
 
