@@ -31,6 +31,8 @@ LANDMARKS = 256
 # occurs in so many of them, or in this share of them.
 MIN_RATIO = 5.0
 MIN_TEXTS, MIN_SHARE = 4, 0.01
+# and when that is so many deviations from what chance gives.
+MIN_DEVIATIONS = 4.0
 LONG_WORD, STEP = 24, 12
 CACHE_WORDS = 1_000_000
 # So many texts are split into words at a time.
@@ -270,7 +272,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
     counts = scratch.write(word_counts(once), "words")
     in_toxic, in_other = F.col("t") / sizes[1], (F.col("c") + 0.5) / sizes[0]
-    telling = (in_toxic >= MIN_RATIO * in_other) & (F.col("t") >= max(MIN_TEXTS, MIN_SHARE * sizes[1]))
+    n, share = F.col("t") + F.col("c"), sizes[1] / (sizes[0] + sizes[1])
+    by_chance = F.col("t") - n * share < MIN_DEVIATIONS * F.sqrt(n * share * (1 - share))
+    telling = ~by_chance & (in_toxic >= MIN_RATIO * in_other) & (F.col("t") >= max(MIN_TEXTS, MIN_SHARE * sizes[1]))
     bad = counts.where(telling).orderBy(F.desc(in_toxic / F.sqrt(in_other)), "word").limit(LANDMARKS).collect()
     if not bad:
         return None
