@@ -1,9 +1,10 @@
 """Personal data: exact patterns, and candidate spans selected by boosted trees.
 
 The base patterns always count. Around them generators propose further, overlapping spans (parts of
-runs that the base rejects as a whole, other spellings); boosted trees trained on the proposals that
-the base confirms or rejects rate them by format and context, and a threshold calibrated on rows the
-trees have not seen selects. All of it are column functions and MLlib.
+runs that the base rejects as a whole, other spellings). A proposal is right where it equals a base
+span or bears its own evidence; one that only overlaps a base span teaches nothing. Boosted trees
+rate them by format and context, and a threshold per generator, calibrated on proposals the trees
+have not seen, selects. All of it are column functions and MLlib.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BASE = {
 # Proposals: parts of longer runs and other spellings. Each finds what stands alone.
 CANDIDATES = (
     ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+){1,4}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?:(?:\.| \. | ?(?:\(dot\)|\[dot\]|\{dot\}) ?)[A-Za-z0-9-]{1,63}+){1,4}"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]*[0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{16,19}(?![0-9])"),
@@ -39,7 +40,7 @@ CANDIDATES = (
 FEATURES = (
     "is_email", "is_ip", "is_card", "is_phone", "n_chars", "n_digits", "n_separators", "n_dots", "n_at",
     "has_plus", "has_parenthesis", "luhn", "octets", "after_letter", "before_letter", "after_space",
-    "keyword",
+    "keyword", "evidence",
 )
 # Trees learn from at most this many proposals, chosen by a hash.
 MAX_SAMPLE = 20_000
@@ -105,6 +106,26 @@ def valid(kind: str, match: Column) -> Column:
     }[kind]
 
 
+def evidence(kind: Column, match: Column, keyword: Column) -> Column:
+    """Whether a proposal (``kind`` by its place in KINDS) speaks for itself, whatever the base says."""
+    plus = F.startswith(match, F.lit("+"))
+    grouped = F.rlike(match, F.lit(r"^\([0-9]{3}\)"))
+    whole = F.contains(match, F.lit("(")) == F.contains(match, F.lit(")"))
+    joined = F.rlike(match, F.lit(r"[.-][0-9]{4}$"))
+    national = F.rlike(match, F.lit(r"^\(?[2-9]")) & (grouped | joined | keyword)
+    phone = whole & valid("phone", match) & F.when(plus, F.rlike(match, F.lit(r"^\+[1-9]"))).otherwise(national)
+    each = {
+        "email": F.rlike(match, F.lit(r"^[A-Za-z0-9].*[^A-Za-z0-9-][A-Za-z]{2,24}$")),
+        "ip": valid("ip", match),
+        "card": valid("card", match) & F.rlike(match, F.lit("^[2-6]")),
+        "phone": phone,
+    }
+    out = F.lit(False)
+    for k, name in enumerate(KINDS):
+        out = F.when(kind == k, each[name]).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
 def _is_valid(kind: str):
     return lambda s: valid(kind, s["match"])
 
@@ -134,8 +155,13 @@ def base_spans(text: Column) -> Column:
 
 
 def proposals(text: Column) -> Column:
-    """What the generators propose; spans may overlap and occur twice."""
-    return F.array_distinct(F.concat(*[_labelled(kind, find(text, p)) for kind, p in CANDIDATES]))
+    """What the generators propose, each with its generator; spans may overlap and occur twice."""
+
+    def made(g: int, kind: str, pattern: str) -> Column:
+        spans = _labelled(kind, find(text, pattern))
+        return F.transform(spans, lambda s: s.withField("generator", F.lit(g)))
+
+    return F.concat(*[made(g, *c) for g, c in enumerate(CANDIDATES)])
 
 
 def digest(spans: Column) -> Column:
@@ -165,20 +191,40 @@ def with_features(rows: DataFrame) -> DataFrame:
         "after_space": F.rlike("before", F.lit(r"(^|\s)$")),
         "keyword": F.rlike("before", F.lit(_KEYWORDS)),
     }
+    made["evidence"] = evidence(F.col("kind"), match, made["keyword"])
     made |= {f"is_{k}": F.col("kind") == F.lit(i) for i, k in enumerate(KINDS)}
     return rows.withColumns({k: v.cast("double") for k, v in made.items()})
 
 
-def _rated(rows: DataFrame, max_sample: int, scratch: Scratch) -> DataFrame | None:
-    """The proposals that the base has not, with a rating over the calibrated threshold."""
-    featured = scratch.write(with_features(rows), "features")
+def _threshold(counts: list) -> dict[int, float]:
+    """Per generator the rating from which on its unseen proposals (generator, step, n, right) are precise.
+
+    It is at least a half, and above the highest step where the precision falls short.
+    """
+    out = {g: 0.5 for g in range(len(CANDIDATES))}
+    for g in out:
+        n, right = 0, 0.0
+        for row in sorted((r for r in counts if r["generator"] == g), key=lambda r: -r["step"]):
+            n, right = n + row["n"], right + row["right"]
+            if right < PRECISION * n:
+                out[g] = max(0.5, (row["step"] + 1) / 100)
+                break
+    return out
+
+
+def _rated(rows: DataFrame, max_sample: int, scratch: Scratch) -> DataFrame:
+    """The proposals that the base has not, with a rating over the threshold of their generator."""
+    featured = with_features(rows).withColumn("label", F.greatest("equal", "evidence"))
+    featured = scratch.write(featured, "features")
+    new = featured.where("equal = 0 and not met")
     order = F.xxhash64("match", "before", "start"), F.col("match")
-    sample = scratch.write(featured.orderBy(*order).limit(max_sample), "sample")
+    # What overlaps a base span without equalling it is neither right nor wrong.
+    sample = scratch.write(featured.where("equal = 1 or not met").orderBy(*order).limit(max_sample), "sample")
     part = F.pmod(F.xxhash64(F.lit(3), "match", "before", "start"), F.lit(4))
     seen, unseen = sample.where(part > 0), sample.where(part == 0)
     classes = {r["label"] for r in seen.select("label").distinct().collect()}
-    if classes != {0.0, 1.0}:
-        return None
+    if classes != {0.0, 1.0}:  # nothing to tell apart: the evidence alone decides
+        return new.where("label = 1").withColumn("rating", F.col("label"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
     trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=8, maxDepth=4, seed=1)
     model = trees.fit(vectors.transform(seen).select("x", "label").coalesce(4))
@@ -187,17 +233,11 @@ def _rated(rows: DataFrame, max_sample: int, scratch: Scratch) -> DataFrame | No
         out = model.transform(vectors.transform(df))
         return out.withColumn("rating", vector_to_array("probability")[1])
 
-    steps = rate(unseen).groupBy(F.floor(F.col("rating") * 100).cast("int").alias("step"))
+    steps = rate(unseen).groupBy("generator", F.floor(F.col("rating") * 100).cast("int").alias("step"))
+    # 101 rows per generator at most.
     counts = steps.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).collect()
-    threshold, n, right = None, 0, 0.0
-    for row in sorted(counts, key=lambda r: -r["step"]):  # 101 rows at most
-        n, right = n + row["n"], right + row["right"]
-        if right < PRECISION * n:
-            break
-        threshold = row["step"] / 100
-    if threshold is None:
-        return None
-    return rate(featured.where("label = 0")).where(F.col("rating") >= threshold)
+    least = F.array(*[F.lit(t) for t in _threshold(counts).values()])
+    return rate(new).where(F.col("rating") >= F.get(least, F.col("generator")))
 
 
 def personal_data(docs: DataFrame, max_sample: int = MAX_SAMPLE, scratch: Scratch | None = None) -> DataFrame:
@@ -206,7 +246,7 @@ def personal_data(docs: DataFrame, max_sample: int = MAX_SAMPLE, scratch: Scratc
     ``base`` holds the base spans, ``added`` those that the trees select; a span has kind (place in
     KINDS), start, end (code points, end exclusive) and match. Added spans overlap no base span and
     not each other. A null text is empty and has no spans; equal rows stay and get equal spans;
-    other columns are ignored. Where no proposal is confirmed or none rejected, nothing is added.
+    other columns are ignored. Where no proposal is right or none wrong, the evidence alone selects.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -219,16 +259,16 @@ def personal_data(docs: DataFrame, max_sample: int = MAX_SAMPLE, scratch: Scratc
     none = F.array().cast(_SPANS)
     rows = scratch.write(
         own.withColumn("base", F.coalesce(F.when(F.col("_text").isNotNull(), base_spans(F.col("_text"))), none))
-        .withColumn("proposed", F.coalesce(F.when(F.col("_text").isNotNull(), proposals(F.col("_text"))), none))
+        .withColumn("proposed", F.when(F.col("_text").isNotNull(), proposals(F.col("_text"))))
         .withColumn(
             "proposed",
             F.transform(
                 "proposed",
                 lambda s: F.struct(
-                    s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
+                    s["generator"].alias("generator"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
                     F.substring(F.col("_text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("before"),
                     F.substring(F.col("_text"), s["end"] + 1, F.lit(CONTEXT)).alias("after"),
-                    F.exists("base", lambda b: (b["kind"] == s["kind"]) & (b["start"] == s["start"]) & (b["end"] == s["end"])).cast("double").alias("label"),
+                    F.exists("base", lambda b: (b["kind"] == s["kind"]) & (b["start"] == s["start"]) & (b["end"] == s["end"])).cast("double").alias("equal"),
                     F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])).alias("met"),
                 ),
             ),
@@ -238,9 +278,7 @@ def personal_data(docs: DataFrame, max_sample: int = MAX_SAMPLE, scratch: Scratc
     )
     each = rows.where(F.size("proposed") > 0).select("doc_id", "text_hash", F.explode("proposed").alias("s"))
     rated = _rated(each.distinct().select("doc_id", "text_hash", "s.*"), max_sample, scratch)
-    if rated is None:
-        return rows.select("doc_id", "text_hash", "base", none.alias("added"))
-    chosen = rated.where("not met").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+    chosen = rated.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.sort_array(F.collect_list(F.struct(-F.col("rating"), "kind", "start", "end", "match"))).alias("all")
     )
     # The best rated first; a span that meets a chosen one is left out.

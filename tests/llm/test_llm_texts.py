@@ -110,6 +110,28 @@ def test_personal_data(spark):
     assert pii.summary(pii.personal_data(df.limit(0))).count() == 0
 
 
+def spans_added(rows):
+    return {r.doc_id: {s.match for s in r.added} for r in rows}
+
+
+def test_personal_data_that_no_base_pattern_has(spark):
+    rng = random.Random(3)
+
+    def number(first):
+        return f"{first}{rng.randrange(100):02} {rng.randrange(200, 999)}-{rng.randrange(10**4):04}"
+
+    docs = [(k, f"call +1 ({number(rng.randrange(2, 10))[:3]}) 555-{k:04} or u{k}@h{k}.org today") for k in range(300)]
+    docs += [(1000 + k, f"part {number(rng.randrange(2))} and 999.{k}.1.1 w{k}") for k in range(100)]
+    planted = ["(555) 123-4567", "a (at) b (dot) org", "j.doe [at] mail.example.com", "212-555-0199"]
+    docs += [(2000 + k, f"w1 {t}. Then w2") for k, t in enumerate(planted)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = spans_added(pii.personal_data(df).collect())
+    assert [got[2000 + k] for k in range(len(planted))] == [{t} for t in planted]
+    assert all(not got[k] for k in [*range(300), *range(1000, 1100)])
+    alone = df.where("doc_id >= 2000")  # no base span anywhere
+    assert spans_added(pii.personal_data(alone).collect()) == {2000 + k: {t} for k, t in enumerate(planted)}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.org and 1.2.3.4!")], "doc_id long, text string")
     found = pii.personal_data(df).join(df, "doc_id")
