@@ -42,7 +42,7 @@ FEATURES = (
     "has_plus", "has_parenthesis", "luhn", "octets", "after_letter", "before_letter", "after_space",
     "keyword", "evidence",
 )
-# Trees learn from at most this many proposals, chosen by a hash.
+# Trees learn from at most this many different proposals, chosen by a hash.
 MAX_SAMPLE = 20_000
 PRECISION = 0.98
 CONTEXT = 24
@@ -217,11 +217,19 @@ def _rated(rows: DataFrame, max_sample: int, scratch: Scratch) -> DataFrame:
     featured = with_features(rows).withColumn("label", F.greatest("equal", "evidence"))
     featured = scratch.write(featured, "features")
     new = featured.where("equal = 0 and not met")
-    order = F.xxhash64("match", "before", "start"), F.col("match")
-    # What overlaps a base span without equalling it is neither right nor wrong.
-    sample = scratch.write(featured.where("equal = 1 or not met").orderBy(*order).limit(max_sample), "sample")
-    part = F.pmod(F.xxhash64(F.lit(3), "match", "before", "start"), F.lit(4))
-    seen, unseen = sample.where(part > 0), sample.where(part == 0)
+    # What overlaps a base span without equalling it is neither right nor wrong. Copies count once,
+    # and stay on one side.
+    own = ("generator", "match", "before", "after")
+    known = featured.where("equal = 1 or not met").select(*own, "label", *FEATURES).distinct()
+    known = scratch.write(
+        known.withColumn("part", F.pmod(F.xxhash64(F.lit(3), *own), F.lit(4))).withColumn("place", F.xxhash64(*own)),
+        "known",
+    )
+    seen = known.where("part > 0").orderBy("place", *own, "label").limit(max_sample)
+    seen = scratch.write(seen, "sample")
+    last = seen.agg(F.max("place")).first()[0]
+    # The trees have not seen a quarter of all, nor what the sample has no room for.
+    unseen = known.where((F.col("part") == 0) | (F.col("place") > F.lit(last)))
     classes = {r["label"] for r in seen.select("label").distinct().collect()}
     if classes != {0.0, 1.0}:  # nothing to tell apart: the evidence alone decides
         return new.where("label = 1").withColumn("rating", F.col("label"))

@@ -132,6 +132,16 @@ def test_personal_data_that_no_base_pattern_has(spark):
     assert spans_added(pii.personal_data(alone).collect()) == {2000 + k: {t} for k, t in enumerate(planted)}
 
 
+def test_personal_data_among_copies(spark):
+    planted = "card 12 4111 1111 1111 1111 end"  # the base loses the card in a longer run
+    docs = [(k, f"mail u{k % 3}@h.org now") for k in range(900)]
+    docs += [(1000 + k, f"ip 999.{k}.1.1 mail v{k}@h{k}.org") for k in range(60)] + [(2000 + k, planted) for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = spans_added(pii.personal_data(df, max_sample=90).collect())
+    assert got[2000] == got[2001] == {"4111 1111 1111 1111"}
+    assert all(not v for k, v in got.items() if k < 2000)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.org and 1.2.3.4!")], "doc_id long, text string")
     found = pii.personal_data(df).join(df, "doc_id")
