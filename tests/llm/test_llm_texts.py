@@ -186,6 +186,21 @@ def test_toxicity_tolerates_gaps(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_of_many_rare_insults(spark):
+    rng = random.Random(12)
+    bad = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(200)]
+    docs, labels = [], []
+    for k in range(1800):
+        words = fixture.sentence(rng, rng.randrange(5, 60)).split()
+        for _ in range(2 * (k % 3 == 0)):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(k % 3 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert area([r.score for r in rows], [r.doc_id % 3 == 0 for r in rows]) > 0.9
+
+
 def plain_dedup(docs, min_words):
     """Every run of lines with enough words that occurs earlier is cut, over all pairs of places."""
     first, cut, lines = {}, {}, {}
