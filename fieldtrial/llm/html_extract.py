@@ -23,8 +23,10 @@ MIN_PAGES = 8
 MIN_IMPORTANCE = 0.35
 # The share of the content in a path's importance; the rest is its presentation.
 CONTENT_SHARE = 0.9
-# Paths that belong to an article are never judged by their entropy: a site may repeat an article.
+# A path inside one of these counts as so much more important. Outside, on a page that has one, a
+# path needs so much more; where it cannot be judged, the tag decides.
 ARTICLE = {"article", "main"}
+PRIOR = 0.2
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,6 +69,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+# Class names that say what a layout has, not what the element is.
+_MODIFIER = re.compile(r"(?:has|no|with|without)-")
 
 
 class Node(NamedTuple):
@@ -76,6 +80,7 @@ class Node(NamedTuple):
     path: int
     dropped: bool
     article: bool
+    by_part: bool = False  # named as no part of the article, but only by a part of a class name
 
 
 class Page(NamedTuple):
@@ -85,19 +90,24 @@ class Page(NamedTuple):
     texts: list[tuple[int, str | None]]
 
 
-def _style(tag: str, attrs: str) -> tuple[str, bool]:
-    """The styled name of an element, and whether it is named as no part of the article."""
+def _style(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """The styled name of an element, whether it is named as no part of the article, or its name has such a part."""
     found = {}
     if attrs:
         for m in _ATTR.finditer(attrs):
             found[m[1].lower()] = (m[2] or m[3] or m[4] or "").lower()
-    named = _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")
+    whole = f"{found.get('class', '')} {found.get('id', '')}".split()
+    parts = _WORD.findall(" ".join(w for w in whole if not _MODIFIER.match(w)))
     dropped = tag in DROP_TAGS or found.get("role") in DROP_ROLES
     classes = sorted(found.get("class", "").split())
     if tag in ARTICLE:  # only by whole class names, as in class="comment"
-        named = classes
-    dropped = dropped or (tag not in ("body", "html") and any(w in DROP_WORDS for w in named))
-    return f"{tag}.{'.'.join(classes)}", dropped
+        whole = parts = classes
+    if tag not in ("body", "html"):
+        dropped = dropped or any(w in DROP_WORDS for w in whole)
+        by_part = not dropped and any(w in DROP_WORDS for w in parts)
+    else:
+        by_part = False
+    return f"{tag}.{'.'.join(classes)}", dropped, by_part
 
 
 def parse(source: str) -> Page:
@@ -138,22 +148,46 @@ def parse(source: str) -> Page:
             close(CLOSES[tag], SCOPES)
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        name, dropped = _style(tag, m["attrs"])
+        name, dropped, by_part = _style(tag, m["attrs"])
         parent = open_[-1][1]
         above = nodes[parent]
         key = (above.path, name)
         if key not in kept:
             kept[key] = zlib.crc32(name.encode(), above.path)
         nodes.append(
-            Node(parent, kept[key], above.dropped or dropped, above.article or tag in ARTICLE)
+            Node(parent, kept[key], above.dropped or dropped, above.article or tag in ARTICLE, by_part)
         )
         open_.append((tag, len(nodes) - 1))
     text(source[at:])
-    return Page(nodes, texts)
-
-
-def features(source: str) -> list[tuple[int, int, int, int]]:
-    """(page, path, presentation, content) hashes of a page's styled paths.
+    return Page(_named(nodes, texts), texts)
+
+
+def _named(nodes: list[Node], texts: list[tuple[int, str | None]]) -> list[Node]:
+    """The elements, dropped by parts of names too, but never with an article of half of the text."""
+    if not any(n.by_part for n in nodes):
+        return nodes
+    size = [0] * len(nodes)
+    for at, piece in texts:
+        if piece and not nodes[at].dropped:
+            size[at] += len(piece.strip())
+    for k in range(len(nodes) - 1, 0, -1):
+        size[nodes[k].parent] += size[k]
+    holds = [False] * len(nodes)
+    for k in range(len(nodes) - 1, 0, -1):
+        n = nodes[k]
+        outermost = n.article and not nodes[n.parent].article and not n.dropped
+        holds[k] = holds[k] or (outermost and 2 * size[k] >= size[0])
+        holds[n.parent] = holds[n.parent] or holds[k]
+    out = list(nodes)
+    for k in range(1, len(out)):
+        gone = out[out[k].parent].dropped or (nodes[k].by_part and not holds[k])
+        if gone and not out[k].dropped:
+            out[k] = out[k]._replace(dropped=True)
+    return out
+
+
+def features(source: str) -> list[tuple[int, int, int, int, bool]]:
+    """(page, path, presentation, content) hashes of a page's styled paths, and whether in an article.
 
     The presentation of a path is the set of its children's paths, its content the texts of its
     elements in order.
@@ -161,6 +195,7 @@ def features(source: str) -> list[tuple[int, int, int, int]]:
     page = parse(source)
     style: dict[int, set[int]] = {}
     content: dict[int, int] = {}
+    article = {n.path: n.article for n in page.nodes}
     for node in page.nodes[1:]:
         style.setdefault(page.nodes[node.parent].path, set()).add(node.path)
         style.setdefault(node.path, set())
@@ -171,20 +206,20 @@ def features(source: str) -> list[tuple[int, int, int, int]]:
             content[path] = zlib.crc32(piece.strip().encode("utf-8", "replace"), content.get(path, 0))
     whole = zlib.crc32(source.encode("utf-8", "replace"))
     return [
-        (whole, path, hash(tuple(sorted(style[path]))), content.get(path, 0)) for path in style if path
+        (whole, path, hash(tuple(sorted(style[path]))), content.get(path, 0), article[path]) for path in style if path
     ]
 
 
-def extract(source: str, template: frozenset[int] = frozenset()) -> str:
+def extract(source: str, template: frozenset[int] = frozenset(), telling: frozenset[int] = frozenset()) -> str:
     """The text of the article: one block a line.
 
-    ``template`` holds the host's paths of low importance; a branch outside an article goes if all
-    its paths are among them.
+    ``template`` holds the host's paths of low importance; a branch goes if all its paths are among
+    them. ``telling`` are paths outside articles that stay on a page that has an article.
     """
     page = parse(source)
     low = [False] * len(page.nodes)
     if template:
-        low = [not n.article and n.path in template for n in page.nodes]
+        low = [n.path in template for n in page.nodes]
         for k in range(len(page.nodes) - 1, 0, -1):  # children follow their parents
             if not low[k]:
                 low[page.nodes[k].parent] = False
@@ -194,7 +229,7 @@ def extract(source: str, template: frozenset[int] = frozenset()) -> str:
     kept = []
     for at, piece in page.texts:
         node = page.nodes[at]
-        if piece is None or not (node.dropped or low[at] or (inside and not node.article)):
+        if piece is None or not (node.dropped or low[at] or (inside and not node.article and node.path not in telling)):
             kept.append(piece)
     blocks = (" ".join(b.split()) for b in _blocks(kept))
     return "\n".join(b for b in blocks if b)
@@ -219,15 +254,15 @@ def host_of(url) -> F.Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged style trees: host, path, n_pages and importance in 0..1 of every styled path.
+    """The merged style trees: host, path, n_pages, article and importance in 0..1 of every styled path.
 
     Equal pages of a host count once. The importance is the entropy of a path's contents over the
     pages, mixed with that of its presentations, each divided by the entropy of all pages differing.
     """
 
     def read(batches):
-        names = ["host", "page", "path", "style", "content"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["host", "page", "path", "style", "content", "article"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
             rows = [
                 (host.as_py(), *row)
@@ -239,14 +274,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     source = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
     rows = source.where("host <> ''").mapInArrow(
-        read, "host string, page long, path long, style long, content long"
+        read, "host string, page long, path long, style long, content long, article boolean"
     )
     rows = rows.distinct()
 
     def entropy(column: str) -> DataFrame:
-        each = rows.groupBy("host", "path", column).agg(F.count(F.lit(1)).alias("n"))
+        each = rows.groupBy("host", "path", column).agg(F.count(F.lit(1)).alias("n"), F.max("article").alias("article"))
         return each.groupBy("host", "path").agg(
             F.sum("n").alias("n_pages"),
+            F.max("article").alias("article"),
             F.sum(F.col("n") * F.log("n")).alias("weight"),
         )
 
@@ -262,6 +298,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         "host",
         "path",
         "n_pages",
+        "article",
         (
             CONTENT_SHARE * relative("weight", "n_pages")
             + (1 - CONTENT_SHARE) * relative("style_weight", "n_pages")
@@ -282,24 +319,26 @@ def extract_pages(
     they occur, other columns are ignored, an empty table gives no rows.
     """
     scratch = scratch or Scratch(pages.sparkSession)
-    template = style_tree(pages).where(
-        (F.col("n_pages") >= min_pages) & (F.col("importance") < min_importance)
-    )
-    # One row per host, with the paths of its templates only; Spark broadcasts it where it is small
+    prior = F.when(F.col("article"), F.lit(PRIOR)).otherwise(F.lit(0.0))
+    template = F.col("importance") + prior < min_importance
+    telling = ~F.col("article") & (F.col("importance") >= min_importance + PRIOR)
+    judged = style_tree(pages).where(F.col("n_pages") >= min_pages).where(template | telling)
+    # One row per host, with the paths of its templates and those that stay outside articles; Spark broadcasts it where it is small
     # and splits a hot host where it is not.
-    low = scratch.write(template.groupBy("host").agg(F.collect_list("path").alias("paths")), "template")
+    lists = [F.collect_list(F.when(c, F.col("path"))).alias(k) for k, c in (("paths", template), ("telling", telling))]
+    low = scratch.write(judged.groupBy("host").agg(*lists), "template")
     own = pages.select("page_id", "url", F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
-    joined = own.join(low, "host", "left").select("page_id", "url", "html", "paths")
+    joined = own.join(low, "host", "left").select("page_id", "url", "html", "paths", "telling")
 
     def take(batches):
         sets: dict = {}
         for batch in batches:
             texts = []
-            for source, paths in zip(batch.column(2), batch.column(3).to_pylist()):
-                key = tuple(paths or ())
+            for source, paths, telling in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                key = tuple(paths or ()), tuple(telling or ())
                 if key not in sets:
-                    sets = {key: frozenset(key)}
-                texts.append(extract(source.as_py() or "", sets[key]))
+                    sets = {key: (frozenset(key[0]), frozenset(key[1]))}
+                texts.append(extract(source.as_py() or "", *sets[key]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -51,6 +51,21 @@ def test_html_template_of_a_site(spark):
     assert texts[101] == "We use biscuits\nStory 1"  # too few pages to judge
 
 
+def test_html_entropy_inside_and_outside_of_articles(spark):
+    def main(k):
+        return f"<main><div class='x1'>We use biscuits</div><div class='x2'><p>Story {k}</p></div></main>"
+
+    def cards(k):
+        return f"<div class='x3'><p>Long story {k}</p></div><article><p>Try our shop</p></article>"
+
+    layout = "<div class='layout has-sidebar'><div class='page-header-below'><article><p>A long tale</p></article></div><div class='left-sidebar'>x</div></div>"
+    rows = [(k, f"http://a.example.org/{k}", main(k)) for k in range(20)]
+    rows += [(100 + k, f"http://b.example.org/{k}", cards(k)) for k in range(20)] + [(200, None, layout)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    assert (texts[7], texts[107], texts[200]) == ("Story 7", "Long story 7", "A long tale")
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
