@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, join_sized
 
-# Turns that a shard holds on average.
+# Turns that a shard holds on average, at most; small tables have a shard for every task.
 SHARD_TURNS = 8192
 
 _LOCAL = (
@@ -32,11 +32,12 @@ _NODE = ["depth", "a", "b"]
 
 
 def placed_turns(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, place (from 1), role and text of every turn that has a conv_id.
+    """conv_id, place (from 1), x, y and bytes of every turn that has a conv_id.
 
-    Turns are ordered by (turn, role, text), a null turn first; null roles and texts are empty. The
-    order comes from a range partitioning, so one conversation may fill many tasks: places are
-    counted within a partition and shifted by what the partitions before it hold.
+    x and y are hashes of role and text, bytes the UTF-8 length of the text. Turns are ordered by
+    (turn, role, text), a null turn first; null roles and texts are empty. The order comes from a
+    range partitioning, so one conversation may fill many tasks: places are counted within a
+    partition and shifted by what the partitions before it hold. Texts are shuffled once.
     """
     flat = turns.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -45,10 +46,19 @@ def placed_turns(turns: DataFrame, scratch: Scratch) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     order = ["conv_id", "turn", "role", "text"]
+    sorted_rows = flat.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = scratch.write(
-        flat.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged_turns"
+        sorted_rows.select(
+            "conv_id",
+            F.spark_partition_id().alias("part"),
+            F.monotonically_increasing_id().alias("at"),
+            F.xxhash64("role", "text").alias("x"),
+            F.xxhash64("text", F.lit(7), "role").alias("y"),
+            F.octet_length("text").cast("long").alias("bytes"),
+        ),
+        "ranged_turns",
     )
-    here = W.partitionBy("part", "conv_id").orderBy("turn", "role", "text")
+    here = W.partitionBy("part", "conv_id").orderBy("at")
     counted = ranged.withColumn("place", F.row_number().over(here).cast("long"))
     # Only conversations at the border of two partitions have rows in several of them.
     rows = ranged.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -58,7 +68,7 @@ def placed_turns(turns: DataFrame, scratch: Scratch) -> DataFrame:
     )
     shifted = join_sized(counted, shifts, ["conv_id", "part"], "left", scratch, "turn_shifts")
     place = F.col("place") + F.coalesce("before", F.lit(0))
-    return shifted.select("conv_id", place.alias("place"), "role", "text")
+    return shifted.select("conv_id", place.alias("place"), "x", "y", "bytes")
 
 
 def branches(placed: DataFrame, span: int = 5, most: int = 9) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +89,7 @@ def branches(placed: DataFrame, span: int = 5, most: int = 9) -> tuple[DataFrame
     lent = ids.select("conv_id", "base", "h").join(heads, "base").where(F.col("place") <= F.col("h"))
     own = placed.join(ids.select("conv_id", "h", "lent"), "conv_id").where(F.col("place") > F.col("h"))
     own = own.withColumn("place", F.col("place") - F.col("h") + F.col("lent"))
-    columns = ["conv_id", "place", "role", "text"]
+    columns = ["conv_id", "place", "x", "y", "bytes"]
     return lent.select(columns).unionByName(own.select(columns)), ids.select("conv_id")
 
 
@@ -184,8 +194,8 @@ def prefix_trie(
 ) -> DataFrame:
     """Every node of the trie of conversations, with what its subtree holds.
 
-    ``turns`` has conv_id, place (1, 2, ... without gaps), role and text; ``ids`` every conv_id once,
-    those without turns too. Columns of the result: conv_id (the smallest member), depth,
+    ``turns`` has conv_id, place (1, 2, ... without gaps), x, y and bytes as ``placed_turns`` gives
+    them; ``ids`` has every conv_id once, those without turns too. Columns of the result: conv_id (the smallest member), depth,
     parent_conv_id (null at the root), n_convs, n_children, n_leaves, saved_tokens (bytes of last
     texts that members after the first repeat, over the subtree) and ends_sha256 (the members that
     end here). No conversations give no nodes. A shard holds two hashes and a length per turn, no
@@ -195,14 +205,15 @@ def prefix_trie(
     hashed = turns.select(
         "conv_id",
         "place",
-        F.xxhash64("place", "role", "text").alias("a"),
-        F.xxhash64("text", "place", F.lit(7), "role").alias("b"),
-        F.octet_length("text").cast("long").alias("bytes"),
+        F.xxhash64("place", "x", "y").alias("a"),
+        F.xxhash64("y", "place", "x").alias("b"),
+        "bytes",
     )
     zero = F.lit(0).cast("long")
     start = ids.select("conv_id", *[zero.alias(c) for c in ("place", "a", "b", "bytes")])
     rows = scratch.write(hashed.unionByName(start), "trie_turns")
-    n_shards = max(1, -(-rows.count() // shard_turns))
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = max(tasks, -(-rows.count() // shard_turns))
     local = rows.withColumn("shard", _shard(n_shards)).groupBy("shard").applyInArrow(_down, _LOCAL)
     local = scratch.write(local, "trie_local")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import scratch_path
-from . import trie_queries  # noqa: F401  (registers its query)
+from . import license_queries, negative_queries, trie_queries  # noqa: F401  (they register their queries)
 from .chat import chat_format
 from .common import read_table
 from .decontaminate import contaminated

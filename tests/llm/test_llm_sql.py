@@ -8,6 +8,9 @@ from oracle import differences
 
 from fieldtrial.llm.queries import QUERIES, SQL
 
+# Those of test_llm_mining.py have tables of their own.
+NAMES = sorted(n for n in SQL if not n.startswith(("op11", "op12", "op13")))
+
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
@@ -25,13 +28,13 @@ def folder(tmp_path_factory):
     )
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", NAMES)
 def test_equals_sql(spark, folder, name):
     con = fixture.connect(folder, "documents", "benchmark", "conversations")
     assert differences(QUERIES[name](spark, folder), con, SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL)))
+@pytest.mark.parametrize("name", NAMES)
 def test_empty_tables(spark, tmp_path, name):
     documents = fixture.documents().iloc[:0].astype({"text": "string", "lang": "string", "source": "string"})
     conversations = pd.DataFrame({"conv_id": [1], "turn": [0], "role": ["a"], "text": ["b"]}).iloc[:0]
