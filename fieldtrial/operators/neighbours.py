@@ -1,9 +1,11 @@
 """Exact nearest rows and design matching.
 
 Rows meet in tiles: a tile pairs a bounded block of queries with a bounded block of base rows and
-returns the k best per query, so no pair is ever written out. Large bases are first cut into cells
-around pivots. A query searches its home cell, and its k-th distance there then rules out every
-cell that the triangle inequality places further away.
+returns the k best per query, so no pair is ever written out. Large bases are first cut by a tree of
+two levels of pivots into about sqrt(n) cells. A query searches its home cell, and its k-th distance
+there then rules out every branch and every cell that the triangle inequality places further away.
+
+``approximate_knn`` hashes rows into buckets instead and ranks what shares a bucket exactly.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +29,10 @@ from .generate import uniform_points
 QUERY_TILE = 65536
 BASE_TILE = 65536
 TASK_WORK = 20_000_000
-MAX_CELLS = 256
+# Branches of a level of the pivot tree: the fourth root of a key's rows, up to this.
+MAX_BRANCHES = 4096
+# Design runs of a campaign that one task may match; more are matched in rounds.
+GROUP_RUNS = 100_000
 
 
 def knn(
@@ -151,9 +158,11 @@ def _tiles(
 
 def _assigned(rows: DataFrame, pivots: DataFrame, ks: Sequence[str], base_tile: int) -> DataFrame:
     """Query-shaped rows with their nearest pivot ``_cell`` and the distance ``_far`` to it."""
+    kept = [c for c in rows.columns if c not in (*ks, "_q", "_qx")]
     fields = [
         rows.schema["_q"],
         T.StructField("_qx", T.ArrayType(T.DoubleType())),
+        *[rows.schema[c] for c in kept],
         T.StructField("_cell", T.LongType()),
         T.StructField("_far", T.DoubleType()),
     ]
@@ -161,13 +170,14 @@ def _assigned(rows: DataFrame, pivots: DataFrame, ks: Sequence[str], base_tile:
     def home(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("_b")
         p, cell = matrix(right["_bx"]), right["_b"].to_numpy()
-        best, far = [], []
-        for v in left["_qx"]:
-            d = ((p - v) ** 2).sum(1)
-            i = int(d.argmin())
-            best.append(cell[i])
-            far.append(np.sqrt(d[i]))
-        return pd.DataFrame({"_q": left["_q"], "_qx": left["_qx"], "_cell": best, "_far": far})
+        x, best, far = matrix(left["_qx"]), [], []
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096]
+            rough = (p * p).sum(1)[None, :] - 2.0 * (part @ p.T)
+            near = rough.argmin(1)
+            best.append(cell[near])
+            far.append(np.sqrt(((part - p[near]) ** 2).sum(1)))
+        return left.assign(_cell=np.concatenate(best), _far=np.concatenate(far))
 
     return tile_grid(rows, pivots, ks, pair_sizes(rows, pivots, ks), base_tile, home, fields)
 
@@ -175,64 +185,123 @@ def _assigned(rows: DataFrame, pivots: DataFrame, ks: Sequence[str], base_tile:
 def _visits(
     queries: DataFrame, cells: DataFrame, ks: Sequence[str], base_tile: int
 ) -> DataFrame:
-    """Other cells a query must search: pivot distance minus cell radius within its reach ``_r``."""
+    """The cells a query must search: those whose pivot distance minus radius is within its reach ``_r``."""
     fields = [
         queries.schema["_q"],
         T.StructField("_qx", T.ArrayType(T.DoubleType())),
+        T.StructField("_r", T.DoubleType()),
         T.StructField("_cell", T.LongType()),
     ]
 
     def reachable(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         p, cell = matrix(right["_bx"]), right["_b"].to_numpy()
-        far = right["_far"].to_numpy(float)
-        ids, places, to = [], [], []
-        for q, v, own, r in zip(left["_q"], left["_qx"], left["_cell"], left["_r"]):
-            reach = np.inf if r is None or np.isnan(r) else r * (1 + 1e-9) + 1e-12
-            hit = cell[(np.sqrt(((p - v) ** 2).sum(1)) - far <= reach) & (cell != own)]
-            ids += [q] * len(hit)
-            places += [v] * len(hit)
-            to += hit.tolist()
-        out = pd.DataFrame({"_q": np.array(ids, dtype=left["_q"].dtype)})
-        out["_qx"] = pd.Series(places, dtype=object)
-        out["_cell"] = np.array(to, dtype=np.int64)
-        return out
+        far, x = right["_far"].to_numpy(float), matrix(left["_qx"])
+        reach = left["_r"].to_numpy(float)
+        limit = np.where(np.isnan(reach), np.inf, reach * (1 + 1e-9) + 1e-12)
+        rows, columns = [], []
+        for at in range(0, len(x), 1024):
+            part = x[at : at + 1024]
+            apart = np.stack([np.sqrt(((p - v) ** 2).sum(1)) for v in part])
+            i, j = np.nonzero(apart - far[None, :] <= limit[at : at + 1024, None])
+            rows.append(i + at)
+            columns.append(j)
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        return left.iloc[i].assign(_cell=cell[j])
 
     return tile_grid(queries, cells, ks, pair_sizes(queries, cells, ks), base_tile, reachable, fields)
 
 
+def _pivots(rows: DataFrame, ks: Sequence[str], salt: str) -> DataFrame:
+    """(keys, _b, _bx): of every key the fourth root of ``_all_n`` rows first by hash, numbered from 1."""
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(salt), "_b"))
+    place = F.row_number().over(W.partitionBy(*ks).orderBy("_h", "_b"))
+    most = F.least(F.ceil(F.pow("_all_n", F.lit(0.25))), F.lit(MAX_BRANCHES))
+    chosen = hashed.withColumn("_p", place).where(F.col("_p") <= MAX_BRANCHES).where(F.col("_p") <= most)
+    return cut_lineage(chosen.select(*ks, F.col("_p").cast("long").alias("_b"), "_bx"), "pivots")
+
+
 def _cells(
     q: DataFrame, b: DataFrame, k: int, ks: Sequence[str], sizes: DataFrame, base_tile: int
 ) -> DataFrame:
-    count = F.least(F.ceil(F.col("_n") / base_tile), F.lit(MAX_CELLS)).cast("int")
-    hashed = b.withColumn("_h", F.xxhash64(F.lit("pivot"), "_b"))
-    first = F.row_number().over(W.partitionBy(*ks).orderBy("_h", "_b"))
-    chosen = hashed.withColumn("_r", first).where(F.col("_r") <= MAX_CELLS)
-    # At most MAX_CELLS pivots per key, numbered from 1.
-    pivots = cut_lineage(
-        join_small(chosen, sizes.select(*ks, count.alias("_m")), ks)
-        .where(F.col("_r") <= F.col("_m"))
-        .select(*ks, F.col("_r").cast("long").alias("_b"), "_bx"),
-        "pivots",
-    )
-    as_query = b.select(*ks, F.col("_b").alias("_q"), F.col("_bx").alias("_qx"))
-    placed = cut_lineage(_assigned(as_query, pivots, ks, base_tile), "placed")
-    bc = placed.select(*ks, F.col("_q").alias("_b"), F.col("_qx").alias("_bx"), "_cell")
-    qc = cut_lineage(_assigned(q, pivots, ks, base_tile).drop("_far"), "home")
-    cell = [*ks, "_cell"]
+    """Top k per query by the pivot tree: the home cell first, then what its reach leaves open."""
+    sized = join_small(b, sizes.select(*ks, F.col("_n").alias("_all_n")), ks)
+    tops = _pivots(sized, ks, "top")
+    as_query = sized.select(*ks, F.col("_b").alias("_q"), F.col("_bx").alias("_qx"), "_all_n")
+    upper = _assigned(as_query, tops, ks, base_tile).withColumnsRenamed({"_cell": "_top", "_far": "_top_far"})
+    upper = cut_lineage(upper, "upper")
+    top = [*ks, "_top"]
+    renamed = upper.withColumnsRenamed({"_q": "_b", "_qx": "_bx"})
+    subs = _pivots(renamed, top, "sub")
+    placed = cut_lineage(_assigned(upper.drop("_all_n"), subs, top, base_tile), "placed")
+    bc = placed.select(*top, F.col("_q").alias("_b"), F.col("_qx").alias("_bx"), "_cell")
+
+    q_top = _assigned(q, tops, ks, base_tile).withColumnRenamed("_cell", "_top").drop("_far")
+    qc = cut_lineage(_assigned(q_top, subs, top, base_tile).drop("_far"), "home")
+    cell = [*top, "_cell"]
     near = _best(_tiles(qc, bc, k, cell, base_tile, pair_sizes(qc, bc, cell)), k, ks)
     near = cut_lineage(near.drop("nn"), "near")
     reach = near.groupBy(*ks, "_q").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_r")
     )
-    radius = placed.groupBy(*cell).agg(F.max("_far").alias("_far"))
-    cells = cut_lineage(
-        pivots.join(radius.withColumnRenamed("_cell", "_b"), [*ks, "_b"]), "cells"
+    wide = placed.groupBy(*top).agg(F.max("_top_far").alias("_far")).withColumnRenamed("_top", "_b")
+    narrow = placed.groupBy(*cell).agg(F.max("_far").alias("_far")).withColumnRenamed("_cell", "_b")
+    tops = cut_lineage(tops.join(wide, [*ks, "_b"]), "tops")
+    subs = cut_lineage(subs.join(narrow, [*top, "_b"]), "subs")
+    asked = qc.drop("_top", "_cell").join(reach, [*ks, "_q"], "left")
+    branches = _visits(asked, tops, ks, base_tile).withColumnRenamed("_cell", "_top")
+    visits = _visits(cut_lineage(branches, "branches"), subs, top, base_tile).drop("_r")
+    again = cut_lineage(visits.join(qc.select(*ks, "_q", "_top", "_cell"), [*ks, "_q", "_top", "_cell"], "left_anti"), "again")
+    far = _tiles(again, bc, k, cell, base_tile, pair_sizes(again, bc, cell))
+    return near.drop("_top", "_cell").unionByName(far.drop("_top", "_cell"))
+
+
+def approximate_knn(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int,
+    keys: Sequence[str] = (),
+    bucket: float = 1.0,
+    tables: int = 8,
+    seed: int = 42,
+    query_id: str = "query_id",
+    base_id: str = "point_id",
+) -> DataFrame:
+    """Up to ``k`` near base rows per query, from the buckets of random projections.
+
+    Rows that share the bucket of one of ``tables`` projections, ``bucket`` wide, are ranked by their
+    exact distance, in tiles: a bucket of any size is many tasks. The result is that of ``knn`` where
+    the true neighbours share a bucket, and ``recall`` measures how often they do. A wider bucket or
+    more tables find more and compare more.
+    """
+    ks = list(keys)
+    q = queries.select(*ks, F.col(query_id).alias("_q"), F.col("x").alias("_qx"))
+    b = base.select(*ks, F.col(base_id).alias("_b"), F.col("x").alias("_bx"))
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="_vec", outputCol="_hashes", bucketLength=bucket, numHashTables=tables, seed=seed
     )
-    again = cut_lineage(
-        _visits(qc.join(reach, [*ks, "_q"], "left"), cells, ks, base_tile), "again"
+    model = lsh.fit(b.select(array_to_vector("_bx").alias("_vec")))
+
+    def bucketed(rows: DataFrame, x: str) -> DataFrame:
+        hashed = model.transform(rows.withColumn("_vec", array_to_vector(x)))
+        each = hashed.select(*rows.columns, F.posexplode("_hashes").alias("_table", "_h"))
+        return each.select(*rows.columns, "_table", vector_to_array("_h")[0].cast("long").alias("_bucket"))
+
+    by = [*ks, "_table", "_bucket"]
+    asked, there = cut_lineage(bucketed(q, "_qx"), "asked"), cut_lineage(bucketed(b, "_bx"), "there")
+    found = _tiles(asked, there, k, by, BASE_TILE, pair_sizes(asked, there, by))
+    once = found.groupBy(*ks, "_q", "_b").agg(F.min("distance").alias("distance"))
+    return _best(once, k, ks).select(
+        *ks, F.col("_q").alias(query_id), F.col("_b").alias(base_id), "distance", "nn"
     )
-    far = _tiles(again, bc, k, cell, base_tile, pair_sizes(again, bc, cell))
-    return near.drop("_cell").unionByName(far.drop("_cell"))
+
+
+def recall(
+    approximate: DataFrame, exact: DataFrame, keys: Sequence[str] = (), query_id: str = "query_id", base_id: str = "point_id"
+) -> DataFrame:
+    """The share of the exact neighbours that were found, and how many there are."""
+    at = [*keys, query_id, base_id]
+    hit = exact.select(*at).join(approximate.select(*at, F.lit(1).alias("_hit")), at, "left")
+    return hit.agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("n"))
 
 
 def match_design(
@@ -242,16 +311,30 @@ def match_design(
     point: str = "point_id",
     max_neighbours: int = 10,
     factors: int | None = None,
+    group_runs: int = GROUP_RUNS,
 ) -> DataFrame:
     """One pool point per design run: its first unused neighbour, else its nearest one.
 
-    ``factors`` compares only that many leading coordinates, for a design that caps its factors.
-    A campaign brings at most (runs of its design) * ``max_neighbours`` rows to the greedy pass.
+    Runs choose in the order of their numbers. ``factors`` compares only that many leading
+    coordinates, for a design that caps its factors. Campaigns of at most ``group_runs`` runs are
+    matched by one task each, larger ones in rounds of proposals; both give the same matches.
     """
+    ks = list(keys)
     if factors:
         pool = pool.withColumn("x", F.slice("x", 1, factors))
-    near = knn(runs, pool, max_neighbours, keys, "run", point)
-    fields = [near.schema[c] for c in (*keys, "run", point)]
+    near = cut_lineage(knn(runs, pool, max_neighbours, ks, "run", point), "choices")
+    large = near.groupBy(*ks).agg(F.count_if(F.col("nn") == 1).alias("_runs")).where(F.col("_runs") > group_runs)
+    large = cut_lineage(large.select(*ks), "large")
+    if large.isEmpty():
+        return _greedy(near, ks, point)
+    crowded = join_small(near, large, ks, computed=True)
+    rest = join_small(near, large, ks, "left_anti", computed=True)
+    return _greedy(rest, ks, point).unionByName(_accepted(crowded, ks, point))
+
+
+def _greedy(near: DataFrame, ks: Sequence[str], point: str) -> DataFrame:
+    """Runs in order take their first unused choice; one task per campaign."""
+    fields = [near.schema[c] for c in (*ks, "run", point)]
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["run", "nn"], kind="stable")
@@ -260,10 +343,39 @@ def match_design(
             choices = group[point].tolist()
             pick = next((p for p in choices if p not in used), choices[0])
             used.add(pick)
-            out.append((*[rows[c].iloc[0] for c in keys], run, pick))
-        return pd.DataFrame(out, columns=[*keys, "run", point])
+            out.append((*[rows[c].iloc[0] for c in ks], run, pick))
+        return pd.DataFrame(out, columns=[*ks, "run", point])
+
+    return near.groupBy(*ks).applyInPandas(greedy, T.StructType(fields))
+
 
-    return near.groupBy(*keys).applyInPandas(greedy, T.StructType(fields))
+def _accepted(near: DataFrame, ks: Sequence[str], point: str) -> DataFrame:
+    """The same matches by deferred acceptance.
+
+    Every run proposes to the first of its choices that has not turned it down, and a point keeps
+    the smallest run. As all points prefer runs in one order, the only stable outcome is the one in
+    which runs choose in that order. A run that all its choices turn down has its nearest one. The
+    proposals of a round are one row per run; no step holds a campaign.
+    """
+    near = cut_lineage(near.select(*ks, "run", point, "nn"), "choices")
+    now = cut_lineage(near.where("nn = 1"), "proposals")
+    lost = None
+    while True:
+        kept = now.groupBy(*ks, point).agg(F.min("run").alias("_kept"))
+        judged = cut_lineage(now.join(kept, [*ks, point]), "judged")
+        refused = judged.where("run <> _kept").select(*ks, "run", (F.col("nn") + 1).alias("nn"))
+        if refused.isEmpty():
+            break
+        again = cut_lineage(refused.join(near, [*ks, "run", "nn"], "left"), "refused")
+        out = again.where(F.col(point).isNull()).select(*ks, "run")
+        lost = out if lost is None else lost.unionByName(out)
+        held = judged.where("run = _kept").drop("_kept")
+        now = cut_lineage(held.unionByName(again.where(F.col(point).isNotNull()).select(*held.columns)), "proposals")
+    matched = now.select(*ks, "run", point)
+    if lost is None:
+        return matched
+    nearest = near.where("nn = 1").select(*ks, "run", point)
+    return matched.unionByName(nearest.join(lost, [*ks, "run"]).select(*matched.columns))
 
 
 def first_occurrence(

@@ -16,7 +16,7 @@ from ..functions.special import norm_cdf, norm_pdf
 from ..functions.vectors import matrix, sqdist, times_matrix
 from ..session import join_small
 from .exact import HOT_ROWS, agg_with_quantiles
-from .neighbours import knn
+from .neighbours import BASE_TILE, knn, pair_sizes, tile_grid
 
 STD_FLOOR = 1e-6
 
@@ -107,6 +107,32 @@ def local_noise(
     )
 
 
+def observation_noise(
+    observed: DataFrame, keys: Sequence[str], k: int = 10, point: str = "point_id", value: str = "y"
+) -> DataFrame:
+    """Noise variance at the observations themselves, each among its own neighbours.
+
+    A campaign of n observations takes min(k, n - 1) neighbours, at least one. Columns: keys, the
+    point and ``noise_var``, with the floor of ``local_noise``.
+    """
+    ks = list(keys)
+    asked = observed.select(*ks, F.col(point).alias("_at"), "x")
+    near = knn(asked, observed, k, ks, "_at", point)
+    n = observed.groupBy(*ks).agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("_most"))
+    values = observed.select(*ks, point, F.col(value).alias("_y"))
+    local = (
+        join_small(near, n, ks)
+        .where(F.col("nn") <= F.col("_most"))
+        .join(values, [*ks, point])
+        .groupBy(*ks, "_at")
+        .agg(F.var_pop("_y").alias("_var"))
+    )
+    floor = F.lit(0.1) * F.col("sigma") * F.col("sigma")
+    return join_small(local, mad_sigma(observed, ks, value), ks).select(
+        *ks, F.col("_at").alias(point), (F.greatest("_var", floor) + F.lit(1e-9)).alias("noise_var")
+    )
+
+
 def feature_relevance(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """0.7 |correlation with y| + 0.3 variance / largest variance, per coordinate."""
     sx = F.stddev_pop("v") * F.stddev_pop("y")
@@ -253,41 +279,43 @@ def gram(
 
 
 def d_optimal(
-    observed: DataFrame, candidates: DataFrame, keys: Sequence[str], ridge: float = 1e-10
+    observed: DataFrame,
+    candidates: DataFrame,
+    keys: Sequence[str],
+    ridge: float = 1e-10,
+    order: int = 1,
 ) -> DataFrame:
-    """Score for the candidate that most increases det(X'X) of a linear model with intercept.
+    """Score for the candidate that most increases det(X'X) of a polynomial model with intercept.
 
-    det(M + vv') = det(M) (1 + v'M^-1 v), so the score is the leverage v'M^-1 v. A singular M gets a
-    small ridge.
+    det(M + vv') = det(M) (1 + v'M^-1 v), so the score is the leverage v'M^-1 v = |L^-1 v|^2 with the
+    Cholesky factor L of M. ``order`` is that of the model: 1 is linear, 2 adds squares and products.
+    A singular M gets a small ridge. Blocks of candidates are solved together, and a campaign's factor
+    goes to each block once.
     """
-    def with_one(df: DataFrame) -> DataFrame:
-        return df.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col("x")))
-
-    info = gram(with_one(observed), keys, "_v")
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def inverse(xtx: pd.Series) -> pd.Series:
-        out = []
-        for flat in xtx:
-            p = math.isqrt(len(flat))
-            m = np.asarray(flat, dtype=float).reshape(p, p)
-            if np.linalg.matrix_rank(m) < p:
-                m = m + ridge * np.eye(p)
-            out.append(np.linalg.inv(m).ravel())
-        return pd.Series(out, dtype=object)
-
-    @F.pandas_udf(T.DoubleType())
-    def leverage(v: pd.Series, inv: pd.Series) -> pd.Series:
-        out = []
-        for a, flat in zip(v, inv):
-            p = len(a)
-            out.append(float(a @ np.asarray(flat, dtype=float).reshape(p, p) @ a))
-        return pd.Series(out, dtype=float)
-
-    small = info.select(*keys, inverse("xtx").alias("_inv"))
-    return (
-        with_one(candidates)
-        .transform(join_small, small, list(keys))
-        .withColumn("score", leverage("_v", "_inv"))
-        .drop("_v", "_inv")
-    )
+    from .surfaces import design_vector
+
+    ks = list(keys)
+
+    def expanded(df: DataFrame) -> DataFrame:
+        return df.withColumn("_v", design_vector(F.col("x"), order))
+
+    info = gram(expanded(observed), ks, "_v")
+    side = info.select(*ks, F.lit(0).cast("long").alias("_b"), F.col("xtx").alias("_bx"))
+    kept = [c for c in candidates.columns if c not in ks]
+    dealt = F.xxhash64(*candidates.columns).alias("_q")
+    asked = expanded(candidates).select(*ks, dealt, F.col("_v").alias("_qx"), *kept)
+
+    def leverage(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        v = matrix(left["_qx"])
+        m = np.asarray(right["_bx"].iloc[0], dtype=float).reshape(v.shape[1], -1)
+        if np.linalg.matrix_rank(m) < len(m):
+            m = m + ridge * np.eye(len(m))
+        try:
+            solved = np.linalg.solve(np.linalg.cholesky(m), v.T)
+            score = (solved * solved).sum(0)
+        except np.linalg.LinAlgError:
+            score = (v * np.linalg.solve(m, v.T).T).sum(1)
+        return left.assign(score=score)
+
+    fields = [*[asked.schema[c] for c in kept], T.StructField("score", T.DoubleType())]
+    return tile_grid(asked, side, ks, pair_sizes(asked, side, ks), BASE_TILE, leverage, fields)

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip
-from ..operators import designs, generate, scoring, stats
-from ..operators.campaign_models import campaign_posterior, fit_campaigns, score_campaigns
+from ..operators import designs, generate, kernel_state, scoring, stats
+from ..operators.campaign_models import campaign_posterior, campaign_scale, fit_campaigns, score_campaigns
 from ..operators.curves import running
 from ..operators.neighbours import drop_evaluated, first_occurrence, knn, match_design, top_up
 from ..operators.prep import scale_pm1
 from ..operators.selection import select_batch
+from ..operators.surfaces import fit_surfaces, surface_values
 from ..session import cut_lineage, join_small, scratch_path
 from .rounds import Scorer, outcomes, run_rounds
 
@@ -90,9 +91,56 @@ def gp_value(keys: Sequence[str], kappa: float = 1.0, m: int = 50, length: float
     return score
 
 
-def d_optimal(keys: Sequence[str]) -> Scorer:
-    """Scorer: gain in det(X'X)."""
-    return lambda hidden, observed: scoring.d_optimal(observed, hidden, keys)
+def d_optimal(keys: Sequence[str], order: int = 1) -> Scorer:
+    """Scorer: gain in det(X'X) of a polynomial model."""
+    return lambda hidden, observed: scoring.d_optimal(observed, hidden, keys, order=order)
+
+
+def polynomial_value(keys: Sequence[str], order: int = 2) -> Scorer:
+    """Scorer: the value that a least-squares surface of all terms up to ``order`` predicts."""
+
+    def score(hidden: DataFrame, observed: DataFrame) -> DataFrame:
+        surfaces = fit_surfaces(observed, keys, order)
+        asked = surface_values(surfaces, hidden, keys, order)
+        return asked.withColumn("score", scoring.predicted_value(F.col("mean")))
+
+    return score
+
+
+def noise_aware_ei(keys: Sequence[str], m: int = 50, length: float = 1.0, k: int = 10) -> Scorer:
+    """Scorer: expected improvement under model and local noise.
+
+    Each observation weighs by the noise of its neighbourhood, the best value is the largest
+    posterior mean, and candidates get the noise of theirs; neighbours are those in the
+    standardized features of a campaign.
+    """
+
+    def score(hidden: DataFrame, observed: DataFrame) -> DataFrame:
+        scale = cut_lineage(campaign_scale(observed, keys).select(*keys, "x_mean", "x_std"), "scale")
+
+        def standardized(rows: DataFrame) -> DataFrame:
+            placed = join_small(rows, scale, keys, computed=True)
+            return placed.withColumn("x", kernel_state.standard("x")).drop("x_mean", "x_std")
+
+        seen = cut_lineage(standardized(observed), "seen")
+        asked = cut_lineage(standardized(hidden), "asked")
+        noise = scoring.observation_noise(seen, keys, k)
+        model = cut_lineage(kernel_state.precision_state(seen, noise, keys, m=m, length=length), "model")
+        best = (
+            kernel_state.predicted(model, seen, keys, length=length)
+            .groupBy(*keys)
+            .agg(F.max(F.col("means")[0]).alias("best"))
+        )
+        queries = asked.withColumnRenamed("point_id", "query_id")
+        local = scoring.local_noise(seen, queries, keys, k).withColumnRenamed("query_id", "point_id")
+        rated = kernel_state.predicted(model, asked, keys, length=length).withColumns(
+            {"mean": F.col("means")[0], "std": F.col("stds")[0]}
+        )
+        rated = join_small(rated.drop("means", "stds").join(local, [*keys, "point_id"]), best, keys)
+        gain = scoring.noise_aware_ei(F.col("mean"), F.col("std"), F.col("noise_var"), F.col("best"))
+        return rated.withColumn("score", gain)
+
+    return score
 
 
 def hide_the_label_order(

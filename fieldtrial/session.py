@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side with at most this many rows, in files of at most this size, may be broadcast.
@@ -63,8 +63,18 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     The table is computed once, survives executor loss and keeps later plans short.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    # Rows counted while they were written, so that nobody has to count them again.
+    table._rows_written = seen.get.get("rows", 0)
+    return table
+
+
+def table_rows(df: DataFrame) -> int:
+    """The rows of a written table; only one from elsewhere is counted."""
+    known = getattr(df, "_rows_written", None)
+    return df.count() if known is None else known
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -94,7 +104,7 @@ def join_small(
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     side = small if computed else cut_lineage(small, "side")
-    if table_bytes(side) <= BROADCAST_BYTES and side.count() <= max_rows:
+    if table_bytes(side) <= BROADCAST_BYTES and table_rows(side) <= max_rows:
         return df.join(F.broadcast(side), keys, how)
     limit = max(hot_rows, df.count() // MAX_HOT_KEYS)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

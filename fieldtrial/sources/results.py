@@ -56,8 +56,9 @@ def _tournaments(root: Column) -> Column:
     ]
     bare = F.from_json(root["competitions"], _COMPETITIONS)
     listed.append(F.when(bare.isNotNull(), F.array(F.struct(bare.alias("competitions")))))
-    # A layout that is there but empty is passed over.
-    return F.coalesce(*[F.when(F.size(found) > 0, found) for found in listed])
+    # A layout that is there but empty is passed over. Each is parsed once, and only if those before
+    # it are not there.
+    return F.coalesce(*[F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f))[0] for found in listed])
 
 
 def parse_results(files: DataFrame) -> DataFrame:

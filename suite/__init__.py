@@ -11,6 +11,7 @@ MODULES = (
     "scoring_queries",
     "curation_queries",
     "protocol_queries",
+    "round_queries",
 )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -315,9 +314,8 @@ def stream_totals(spark, sf):
     path = scratch_path(spark, "arriving")
     _result_documents(spark, sf).select("text").repartition(8).write.text(path)
     arriving = results_stream.stream_results(spark, path, lines=True, max_files=3)
-    totals = results_stream.running_totals(arriving)
-    name = f"totals_{uuid.uuid4().hex}"
-    return rounded(results_stream.totals_snapshot(totals, name, scratch_path(spark, "state")))
+    totals = results_stream.totals_snapshot(arriving, scratch_path(spark, "totals"), scratch_path(spark, "state"))
+    return rounded(totals)
 
 
 @query(

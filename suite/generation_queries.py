@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtrial.operators import designs, difficulty, generate, neighbours, selection, stats
 from fieldtrial.plans import sweep
+from fieldtrial.session import cut_lineage
 
 from .inputs import LIMITS3, POOL, POOL3, VECTORS, pool, pool3, rounded, vectors
 from .registry import query, s_hash, s_normal, s_u, s_u_open, table
@@ -496,6 +497,17 @@ def j7(spark, sf):
     return neighbours.match_design(designs.full_factorial(stats.bounds(p, C), C, 3), p, C)
 
 
+@query(
+    "j7_match_rounds",
+    f"WITH RECURSIVE {POOL3}, {greedy_sql('pool')} SELECT campaign, run, point_id FROM greedy WHERE run >= 0",
+)
+def j7_rounds(spark, sf):
+    """The same matching in rounds of proposals, as for campaigns that no task may hold."""
+    p = pool3(spark, sf)
+    runs = designs.full_factorial(stats.bounds(p, C), C, 3)
+    return neighbours.match_design(runs, p, C, group_runs=0)
+
+
 @query(
     "j6_knn",
     f"""WITH {VECTORS}
@@ -513,6 +525,36 @@ def j6(spark, sf):
     return rounded(neighbours.knn(q, v.withColumnRenamed("vec_id", "point_id"), 10))
 
 
+@query(
+    "j6_knn_tree",
+    f"""WITH {VECTORS}
+    SELECT a.vec_id AS query_id, b.vec_id AS point_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY
+        sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: power(p[1] - p[2], 2)))), b.vec_id)
+        AS INTEGER) AS nn
+    FROM vectors a, vectors b QUALIFY nn <= 10""",
+)
+def j6_tree(spark, sf):
+    """The same neighbours through the pivot tree, as for bases larger than a tile."""
+    v = vectors(spark, sf)
+    q = v.withColumnRenamed("vec_id", "query_id")
+    found = neighbours.knn(q, v.withColumnRenamed("vec_id", "point_id"), 10, base_tile=256)
+    return found.select("query_id", "point_id", "nn")
+
+
+@query("j6_knn_lsh")
+def j6_lsh(spark, sf):
+    """Neighbours by hashed buckets, and per row how many of the exact ten are among them."""
+    v = vectors(spark, sf)
+    q, b = v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "point_id")
+    found = cut_lineage(neighbours.approximate_knn(q, b, 10, bucket=0.5, tables=12), "found")
+    exact = neighbours.knn(q, b, 10).select("query_id", "point_id", F.lit(1).alias("hit"))
+    return (
+        found.join(exact, ["query_id", "point_id"], "left")
+        .groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("n_found"), F.count("hit").alias("n_exact"))
+    )
+
+
 @query(
     "j6_knn_by_campaign",
     f"""WITH {POOL3} SELECT a.campaign, a.point_id AS query_id, b.point_id,

@@ -140,3 +140,39 @@ def test_schedule_with_a_short_last_batch(spark):
     df = spark.createDataFrame([("c", 20, 10, 4), ("d", 10, 10, 3)], "c string, S int, R int, B int")
     got = [(r["c"], r["step"], r["batch_size"], r["evaluations"]) for r in curves.eval_schedule(df, ["c"]).orderBy("c", "step").collect()]
     assert got == [("c", 0, 10, 10), ("c", 1, 4, 14), ("c", 2, 4, 18), ("c", 3, 2, 20), ("d", 0, 10, 10)]
+
+
+def _arrival(spark, folder, name, rows):
+    lines = [
+        '{"competitions": [{"optimizer_results": {"%s": {"steps_to_target": %s, "found_target": true, "final_best": %s}}}]}' % r
+        for r in rows
+    ]
+    (folder / name).write_text("\n".join(lines))
+
+
+def test_stream_adds_each_arrival_once(spark, tmp_path):
+    from fieldtrial.streaming.results_stream import append_once, stream_results, totals_snapshot
+
+    folder, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    folder.mkdir()
+    _arrival(spark, folder, "a.json", [("A", 3, 1.0), ("B", 5, 2.0), ("A", "null", 7.0)])
+    arriving = stream_results(spark, str(folder), lines=True).drop("history")
+    append_once(arriving, table, state)
+    assert spark.read.parquet(table).count() == 3
+    append_once(arriving, table, state)
+    assert spark.read.parquet(table).count() == 3
+    _arrival(spark, folder, "b.json", [("A", 9, 4.0)])
+    append_once(arriving, table, state)
+    # A driver that dies after the rows are written and before the batch is recorded runs it again.
+    for kept in (tmp_path / "state" / "commits").glob("*1*"):
+        kept.unlink()
+    append_once(arriving, table, state)
+    rows = spark.read.parquet(table).select("optimizer", "final_best").collect()
+    assert sorted(map(tuple, rows)) == [("A", 1.0), ("A", 4.0), ("A", 7.0), ("B", 2.0)]
+
+    totals = {r["optimizer"]: r for r in totals_snapshot(arriving, str(tmp_path / "sums"), str(tmp_path / "state2")).collect()}
+    assert totals["A"]["n_competitions"] == 3 and totals["A"]["mean_steps"] == 6.0 and totals["A"]["std_steps"] == 3.0
+    _arrival(spark, folder, "c.json", [("A", 6, 4.0), ("C", "null", 1.0)])
+    totals = {r["optimizer"]: r for r in totals_snapshot(arriving, str(tmp_path / "sums"), str(tmp_path / "state2")).collect()}
+    assert totals["A"]["n_competitions"] == 4 and totals["A"]["std_steps"] == pytest.approx(6**0.5)
+    assert totals["C"]["mean_steps"] is None and totals["C"]["std_steps"] is None
