@@ -19,6 +19,8 @@ from .common import Scratch
 
 # Components of all rows of a lane, and of all anchors of a block.
 LANE_VALUES, BLOCK_VALUES = 1 << 22, 1 << 20
+# Rows below which a lane is not split to busy more tasks, as each lane sends its own best rows.
+LEAST_ROWS = 1024
 # Scores compared at a time inside a cell.
 TILE = 1 << 22
 _LEAST = -(1 << 63)
@@ -156,7 +158,8 @@ def hard_negatives(
     width = max(1, shape["width"])
     n_blocks = max(1, -(-shape["m"] * width // BLOCK_VALUES))
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_lanes = max(1, -(-shape["n"] * width // LANE_VALUES), -(-parallel // n_blocks))
+    spread = min(-(-parallel // n_blocks), -(-shape["n"] // LEAST_ROWS))
+    n_lanes = max(1, spread, -(-shape["n"] * width // LANE_VALUES))
 
     sized = rows.withColumn("width", F.lit(width))
     chosen = rows.where(anchors).withColumn("width", F.lit(width))

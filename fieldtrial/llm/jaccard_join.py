@@ -33,6 +33,8 @@ SMALL = 16
 # What a match by chance costs against one more signature, in the choice of an allocation.
 CHANCE_COST = 16
 BLOCK = 64
+# Packs of a group that one task compares with the group's outsiders.
+LANE = 16
 
 _U = np.uint64
 
@@ -171,11 +173,22 @@ def may_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int) -> bool:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(hub, pack) of rows (hub, f, n, sketch, root): packs of BLOCK rows on average."""
-    sizes = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    """(group, block, blocks, pack) of rows (group, f, n, sketch, root): packs of BLOCK rows on average."""
+    sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("f"), F.col("blocks"))
-    packs = rows.join(sizes, "hub").groupBy("hub", block.alias("block"))
-    return packs.agg(F.collect_list(F.struct("f", "n", "sketch", "root")).alias("pack")).drop("block")
+    packs = rows.join(sizes, "group").groupBy("group", "blocks", block.alias("block"))
+    return packs.agg(F.collect_list(F.struct("f", "n", "sketch", "root")).alias("pack"))
+
+
+def _block_pairs(rows: DataFrame, outside: DataFrame) -> DataFrame:
+    """Every pack of ``rows`` with every pack of ``outside`` of its group, LANE packs to a task."""
+    left = _blocks(rows)
+    lanes = left.groupBy("group").agg((F.floor(F.max("block") / LANE) + 1).cast("int").alias("lanes"))
+    others = _blocks(outside).join(lanes, "group").select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("pack").alias("others")
+    )
+    dealt = left.withColumn("lane", F.floor(F.col("block") / LANE).cast("int"))
+    return dealt.join(others, ["group", "lane"]).select("pack", "others")
 
 
 def _by_length(pack: list) -> list[tuple[np.ndarray, ...]]:
@@ -329,29 +342,29 @@ class Join:
         return links
 
     def groups(self, members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Pairs (x, y) from the small groups of ``members`` (key, f), and the rows of the large
-        ones as (key, f)."""
+        """Pairs (x, y) from the small groups of ``members`` (key, f, root, ...), but for those of one
+        root, and the rows of the large ones."""
         met = members.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
         met = self.scratch.write(met, f"{name}-met")
         rows = join_sized(members, met, ["key"], "inner", self.scratch, f"{name}-met")
         rows = self.scratch.write(rows, f"{name}-rows")
         self.scratch.drop(f"{name}-met")
-        small = rows.where(f"met <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_set("f")).alias("all"))
-        pairs = F.flatten(
-            F.transform(
-                "all",
-                lambda y, j: F.transform(
-                    F.slice("all", F.lit(1), j), lambda x: F.struct(x.alias("x"), y.alias("y"))
-                ),
-            )
+        small = rows.where(f"met <= {SMALL}").groupBy("key").agg(
+            F.sort_array(F.collect_set(F.struct("f", "root"))).alias("all")
         )
-        listed = small.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
-        return listed.distinct(), rows.where(f"met > {SMALL}").select("key", "f")
+
+        def with_earlier(y, j):
+            earlier = F.filter(F.slice("all", F.lit(1), j), lambda x: x["root"] != y["root"])
+            return F.transform(earlier, lambda x: F.struct(x["f"].alias("x"), y["f"].alias("y")))
+
+        listed = small.select(F.explode(F.flatten(F.transform("all", with_earlier))).alias("p")).select("p.x", "p.y")
+        return listed.distinct(), rows.where(f"met > {SMALL}").drop("met")
 
     def links(self) -> DataFrame:
         """Pairs (x, y) of similar classes that connect all that similar pairs connect."""
-        first = self.classes.select(F.explode("sigs").alias("key"), "f")
+        first = self.classes.select(F.explode("sigs").alias("key"), "f", F.col("f").alias("root"))
         pairs, large = self.groups(first, "first")
+        large = large.select("key", "f")
         # The hub of a group is the member of the most large groups: the text the others stem from.
         ranked = large.join(large.groupBy("f").agg(F.count(F.lit(1)).alias("degree")), "f")
         hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "f"))["f"].alias("hub"))
@@ -360,76 +373,96 @@ class Join:
         least, most = F.least("hub", "f").alias("x"), F.greatest("hub", "f").alias("y")
         found = self.verified(pairs.unionByName(spokes.select(least, most)), "first")
         self.scratch.drop("first-rows")
-        linked = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.lit(True).alias("linked")).distinct()
-        same = (F.least("hub", "f") == F.col("_x")) & (F.greatest("hub", "f") == F.col("_y"))
-        rated = spokes.join(linked, same, "left")
-        rated = self.scratch.write(rated.select("hub", "f", F.coalesce("linked", F.lit(False)).alias("linked")), "rated")
+        stars = connect(found, self.scratch)
+        groups = self.open_groups(spokes, stars)
         self.scratch.drop("spokes")
-        open_hubs = rated.where("not linked").select("hub").distinct()
-        rated = self.scratch.write(rated.join(open_hubs, "hub", "left_semi"), "open")
-        self.scratch.drop("rated")
-        if rated.isEmpty():
-            return found
-        hubs_too = rated.select("hub", F.col("hub").alias("f"), F.lit(True).alias("linked")).distinct()
-        return self.refined(found, rated.unionByName(hubs_too))
-
-    def refined(self, found: DataFrame, rated: DataFrame) -> DataFrame:
-        """Links that connect what ``found`` and the large groups, given as (hub, f, linked), do."""
+        return stars.select(F.col("hi").alias("x"), F.col("lo").alias("y")) if groups is None else self.refined(stars, *groups)
+
+    def open_groups(self, spokes: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """Members (group, f, root) of the components of hubs that have members of other components,
+        and one hub per component as (group, hub). None if there are no such components.
+
+        A component's hubs are taken together, so a member is there once however many of them it met.
+        """
+        roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
+        hubs = spokes.select(F.col("hub").alias("f")).distinct().join(roots, "f", "left")
+        hubs = hubs.select(F.col("f").alias("hub"), F.coalesce("root", "f").alias("group"))
+        hubs = self.scratch.write(hubs, "hub-roots")
+        placed = join_sized(spokes, hubs, ["hub"], "inner", self.scratch, "hub-roots").select("group", "f").distinct()
+        placed = placed.unionByName(hubs.select("group", F.col("hub").alias("f")).distinct())
+        members = placed.join(roots, "f", "left").select("group", "f", F.coalesce("root", "f").alias("root"))
+        members = self.scratch.write(members.distinct(), "members")
+        apart = self.scratch.write(members.where("root <> group").select("group").distinct(), "apart")
+        if apart.isEmpty():
+            return None
+        members = join_sized(members, apart, ["group"], "left_semi", self.scratch, "apart")
+        leaders = hubs.groupBy("group").agg(F.min("hub").alias("hub"))
+        leaders = join_sized(leaders, apart, ["group"], "left_semi", self.scratch, "apart")
+        return self.scratch.write(members, "open"), self.scratch.write(leaders, "leaders")
+
+    def refined(self, stars: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Links that connect what ``stars`` and the similar members of open groups do.
+
+        Members of a group's own component are connected, so only pairs with an outsider matter:
+        outsiders list the elements by which a partner must meet them, and insiders only those of
+        theirs that an outsider has listed.
+        """
         percent = self.percent
-        sets = self.sets_of(rated, "open-sets")
-        of_hubs = sets.join(rated.select(F.col("hub").alias("f")).distinct(), "f", "left_semi")
-        of_hubs = self.scratch.write(
-            of_hubs.select(F.col("f").alias("hub"), F.col("own").alias("hub_own")), "hub-sets"
-        )
-        both = join_sized(rated.join(sets, "f"), of_hubs, ["hub"], "inner", self.scratch, "hub-sets")
-        schema = "hub long, f long, tokens array<long>"
+        sets = self.sets_of(members, "open-sets")
+        of_hubs = leaders.join(sets.withColumnRenamed("f", "hub"), "hub")
+        of_hubs = self.scratch.write(of_hubs.select("group", F.col("own").alias("hub_own")), "hub-sets")
+        both = join_sized(members.join(sets, "f"), of_hubs, ["group"], "inner", self.scratch, "hub-sets")
+        schema = "group long, f long, root long, tokens array<long>"
 
         def prefix(batches):
             for batch in batches:
                 rows = []
-                columns = (batch.column(k).to_pylist() for k in ("hub", "f", "own", "hub_own"))
-                for hub, f, own, of_hub in zip(*columns):
+                columns = (batch.column(k).to_pylist() for k in ("group", "f", "root", "own", "hub_own"))
+                for group, f, root, own, of_hub in zip(*columns):
                     own, of_hub = np.frombuffer(own, _U), np.frombuffer(of_hub, _U)
                     common = np.isin(own, of_hub, assume_unique=True)
                     ordered = np.concatenate([own[~common], own[common]])
                     # Any partner shares ceil(p n) elements, so it has one of these.
                     n = len(own) - -(-percent * len(own) // 100) + 1
-                    rows.append((hub, f, ordered[:n].view(np.int64)))
+                    rows.append((group, f, root, ordered[:n].view(np.int64)))
                 yield _batch(schema, rows)
 
-        tokens = both.select("hub", "f", "own", "hub_own").mapInArrow(prefix, schema)
+        tokens = both.select("group", "f", "root", "own", "hub_own").mapInArrow(prefix, schema)
         tokens = self.scratch.write(tokens, "prefixes")
-        self.scratch.drop("open-sets", "hub-sets", "open")
-        members = tokens.select("hub", "f", F.explode("tokens").alias("token"))
-        keyed = members.select(F.xxhash64("hub", "token").alias("key"), "f", F.col("hub").alias("_hub"))
-        pairs, large = self.groups(keyed.select("key", "f"), "second")
+        self.scratch.drop("open-sets", "hub-sets", "open", "members", "apart", "hub-roots", "leaders")
+        each = tokens.select("group", "f", "root", F.explode("tokens").alias("token"))
+        keyed = each.select(F.xxhash64("group", "token").alias("key"), "f", "root", "group")
+        outside = keyed.where("root <> group")
+        asked = self.scratch.write(outside.select("key").distinct(), "outside-keys")
+        inside = join_sized(keyed.where("root = group"), asked, ["key"], "left_semi", self.scratch, "outside-keys")
+        pairs, large = self.groups(outside.unionByName(inside), "second")
         near = self.verified(pairs, "second")
-        # Large groups again: members that are not yet in their hub's component are compared with
-        # every member of the hub's large groups that is in another one, in blocks.
-        stars = connect(found.unionByName(near), self.scratch)
-        roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
-        keys = large.select("key").distinct()
-        still = keyed.join(keys, "key", "left_semi").select(F.col("_hub").alias("hub"), "f").distinct()
-        still = still.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
-        hub_roots = roots.select(F.col("f").alias("hub"), F.col("root").alias("hub_root"))
-        still = still.join(hub_roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        still = self.scratch.write(still, "still")
-        self.scratch.drop("prefixes", "second-rows")
-        apart = still.where("root <> hub_root").select("hub").distinct()
-        marked = still.join(apart, "hub", "left_semi").join(self.classes.select("f", "n", "sketch"), "f")
-        marked = self.scratch.write(marked.select("hub", "f", "n", "sketch", "root", "hub_root"), "marked")
+        # Large groups again: members that are not yet in their group's component are compared with
+        # every member that is in another one, in blocks.
+        connected = stars.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
+        stars = connect(connected.unionByName(near), self.scratch)
         connected = stars.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
+        roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
+        still = large.select("group", "f").distinct().join(roots, "f", "left")
+        still = self.scratch.write(still.select("group", "f", F.coalesce("root", "f").alias("root")), "still")
+        self.scratch.drop("prefixes", "outside-keys", "second-rows")
+        group_roots = still.select(F.col("group").alias("f")).distinct().join(roots, "f", "left")
+        group_roots = group_roots.select(F.col("f").alias("group"), F.coalesce("root", "f").alias("group_root"))
+        group_roots = self.scratch.write(group_roots, "group-roots")
+        still = join_sized(still, group_roots, ["group"], "inner", self.scratch, "group-roots")
+        apart = self.scratch.write(still.where("root <> group_root").select("group").distinct(), "still-apart")
+        marked = join_sized(still, apart, ["group"], "left_semi", self.scratch, "still-apart")
+        marked = marked.join(self.classes.select("f", "n", "sketch"), "f")
+        marked = self.scratch.write(marked.select("group", "f", "n", "sketch", "root", "group_root"), "marked")
         if marked.isEmpty():
             return connected
-        others = _blocks(marked.where("root <> hub_root")).withColumnRenamed("pack", "others")
-        crossed = _blocks(marked).join(others, "hub").select("pack", "others")
 
         def compare(batches):
             for batch in batches:
                 for a, b in zip(*(batch.column(k).to_pylist() for k in ("pack", "others"))):
                     yield _batch("x long, y long", list(block_pairs(a, b, percent)))
 
-        likely = crossed.mapInArrow(compare, "x long, y long")
+        likely = _block_pairs(marked, marked.where("root <> group_root")).mapInArrow(compare, "x long, y long")
         likely = self.scratch.write(likely.distinct(), "third-likely")
         return connected.unionByName(self.exact(likely, "third"))
 

@@ -45,6 +45,26 @@ def test_components(spark, width, percent):
     assert got == components(docs, width, percent)
 
 
+def test_many_near_copies_and_outsiders(spark):
+    """Groups far beyond SMALL whose outsiders link with them only by a few members."""
+    rng = random.Random(12)
+    base = fixture.sentence(rng, 100)
+    texts = [fixture.changed(rng, base, rng.randrange(1, 5)) for _ in range(260)]
+    half = base.split(" ")
+    outside = " ".join(half[:55]) + " " + fixture.sentence(rng, 45)
+    texts += [fixture.changed(rng, outside, rng.randrange(0, 4)) for _ in range(60)]
+    step = base
+    for _ in range(40):  # walks away from the group, link by link
+        step = fixture.changed(rng, step, 2)
+        texts.append(step)
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for percent in (80, 90):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_documents(df, 3, percent).collect()}
+        assert got == components(docs, 3, percent)
+
+
 def test_awkward_rows(spark):
     rows = [(1, "a b c d e f", 9), (1, "a b c d e f", 9), (1, "x y z u v w", 9), (None, "a b c d e f", 9), (None, None, 9), (2, "A b  c d\te f", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, h long")
