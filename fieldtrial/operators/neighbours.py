@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import matrix, unit_scale
-from ..session import cut_lineage, join_small
+from ..session import SMALL_BYTES, cut_lineage, join_small, plan_bytes
 from .generate import uniform_points
 
 # Largest blocks of a tile, and the distances a task should at least have before a block is split.
@@ -68,7 +68,8 @@ def pair_sizes(q: DataFrame, b: DataFrame, ks: Sequence[str]) -> DataFrame:
     """Base rows ``_n`` and query rows ``_nq`` of every key that has both."""
     nb = b.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
     nq = q.groupBy(*ks).agg(F.count(F.lit(1)).alias("_nq"))
-    return cut_lineage(nb.join(nq, list(ks)), "sizes")
+    sizes = nb.join(nq, list(ks))
+    return sizes if plan_bytes(q) + plan_bytes(b) <= SMALL_BYTES else cut_lineage(sizes, "sizes")
 
 
 def _best(found: DataFrame, k: int, ks: Sequence[str]) -> DataFrame:

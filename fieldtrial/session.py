@@ -14,6 +14,8 @@ BROADCAST_BYTES = 16 << 20
 # A key with more rows than this is not left to one task.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
+# A side that Spark itself rates at no more than this is broadcast without being computed first.
+SMALL_BYTES = 256 << 10
 
 _local_dirs: dict[str, str] = {}
 
@@ -77,6 +79,11 @@ def table_rows(df: DataFrame) -> int:
     return df.count() if known is None else known
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size at which Spark rates the rows of a plan: that of the files it reads, or more."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def table_bytes(df: DataFrame) -> int:
     """The size of the files that a written table reads."""
     spark = df.sparkSession
@@ -96,13 +103,15 @@ def join_small(
 ) -> DataFrame:
     """Join rows with per-key values, without ever sending a hot key to one task.
 
-    ``small`` is computed once into the shared folder (``computed`` says it already is) and counted
-    there; up to ``max_rows`` rows and ``BROADCAST_BYTES`` of files it is broadcast. A larger side
+    A side that comes from little input is broadcast as it is. Otherwise ``small`` is computed once into
+    the shared folder (``computed`` says it already is) and counted there; up to ``max_rows`` rows and ``BROADCAST_BYTES`` of files it is broadcast. A larger side
     is joined by shuffle, except for the keys that hold more than ``hot_rows`` rows and a
     ten-thousandth of ``df``: there are at most ``MAX_HOT_KEYS`` of them, and their values are
     broadcast where they are small enough.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if max_rows == BROADCAST_ROWS and plan_bytes(small) <= SMALL_BYTES:
+        return df.join(F.broadcast(small), keys, how)
     side = small if computed else cut_lineage(small, "side")
     if table_bytes(side) <= BROADCAST_BYTES and table_rows(side) <= max_rows:
         return df.join(F.broadcast(side), keys, how)
