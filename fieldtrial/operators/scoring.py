@@ -208,9 +208,14 @@ def trust_region(
 
 
 def next_radius(scored: DataFrame, radius: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Shrink after a standout score, grow otherwise, within [0.1, 1]."""
+    """Shrink after a standout score, grow otherwise, within [0.1, 1].
+
+    A score stands out more than one deviation above the mean; of two scores neither does, however
+    their mean is rounded.
+    """
+    deviation = F.stddev_pop("score")
     spread = scored.groupBy(*keys).agg(
-        (F.max("score") > F.avg("score") + F.stddev_pop("score")).alias("_good")
+        (F.max("score") - F.avg("score") > deviation * (1 + 1e-9)).alias("_good")
     )
     factor = F.when(F.col("_good"), F.lit(0.9)).otherwise(F.lit(1.1))
     return radius.join(spread, list(keys)).select(

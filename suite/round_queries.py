@@ -170,7 +170,7 @@ def _subspace_sql(rounds: int, batch: int) -> str:
     picks{i} AS (SELECT campaign, point_id, score, row_number() OVER (PARTITION BY campaign ORDER BY score DESC, point_id)
       AS batch_position FROM scored{i} QUALIFY batch_position <= {batch}),
     radius{i + 1} AS (SELECT campaign, least(greatest(any_value(radius) * CASE WHEN any_value(level) <> 1 THEN 1.5::DOUBLE
-      ELSE 1.0::DOUBLE END * CASE WHEN max(score) > avg(score) + stddev_pop(score) THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END,
+      ELSE 1.0::DOUBLE END * CASE WHEN max(score) - avg(score) > stddev_pop(score) * (1 + 1e-9::DOUBLE) THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END,
       0.1::DOUBLE), 1.0::DOUBLE) AS radius FROM scored{i} JOIN radius{i} USING (campaign) GROUP BY 1)""")
     union = " UNION ALL ".join(
         f"""SELECT campaign, point_id, CAST({i} AS INTEGER) AS step, CAST(batch_position AS INTEGER) AS batch_position,
@@ -210,12 +210,12 @@ def _ensemble_sql() -> str:
     fits AS {_fit_sql("filled", "cw", "campaign, r")},
     each AS (SELECT campaign, point_id, hidden, k * w * sy + my AS mean, {STD} AS std
       FROM kp JOIN fits USING (campaign) JOIN split USING (campaign, point_id)),
-    both AS (SELECT campaign, point_id, any_value(hidden) AS hidden, avg(mean) AS mean,
+    joined AS (SELECT campaign, point_id, any_value(hidden) AS hidden, avg(mean) AS mean,
       sqrt(var_pop(mean) + avg(std * std)) AS std FROM each GROUP BY 1, 2),
-    top AS (SELECT campaign, max(mean) AS best FROM both WHERE NOT hidden GROUP BY 1)
+    top AS (SELECT campaign, max(mean) AS best FROM joined WHERE NOT hidden GROUP BY 1)
     SELECT campaign, point_id, round(mean, 6) AS mean, round(std, 6) AS std,
       round({_ei_sql("mean", "std", "best", "0.1::DOUBLE * greatest(std, 1e-6::DOUBLE)", False)}, 6) AS score
-    FROM both JOIN top USING (campaign) WHERE hidden"""
+    FROM joined JOIN top USING (campaign) WHERE hidden"""
 
 
 @query("m12_ensemble_ei", _ensemble_sql())
@@ -250,10 +250,10 @@ _NOISY = f"""WITH {POOL}, {split_sql("0.9", "5")},
     post AS (SELECT kp.campaign, kp.point_id, k * w * sy + my AS mean, {STD} AS std, noise_var, best FROM kp
       JOIN u USING (campaign, point_id) JOIN fit USING (campaign) JOIN best USING (campaign)
       JOIN noise USING (campaign, point_id) WHERE hidden),
-    both AS (SELECT *, sqrt(std * std + noise_var) AS se FROM post)
+    joined AS (SELECT *, sqrt(std * std + noise_var) AS se FROM post)
     SELECT campaign, point_id, round(mean, 5) AS mean, round(std, 5) AS std, round(noise_var, 5) AS noise_var,
       round((mean - best) * {s_cdf("((mean - best) / se)")} + se * {s_pdf("((mean - best) / se)")}
-        + 0.01::DOUBLE * std, 5) AS score FROM both"""
+        + 0.01::DOUBLE * std, 5) AS score FROM joined"""
 
 
 @query("m14_noise_aware_scores", _NOISY)
@@ -339,7 +339,7 @@ def campaign_surfaces(spark, sf):
     inv AS (SELECT campaign, list_transform(a, lambda row_: row_[7:12]) AS m FROM steps WHERE k = 7),
     lev AS (SELECT campaign, point_id, list_dot_product(v, list_transform(m, lambda row_: list_dot_product(row_, v)))
       AS score FROM t JOIN inv USING (campaign) WHERE hidden)
-    SELECT campaign, point_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY campaign
+    SELECT campaign, point_id, round(round(score, 8), 6) AS score, CAST(row_number() OVER (PARTITION BY campaign
       ORDER BY round(score, 8) DESC, point_id) AS INTEGER) AS batch_position FROM lev QUALIFY batch_position <= 5""",
 )
 def d_optimal_second(spark, sf):
