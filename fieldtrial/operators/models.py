@@ -24,6 +24,8 @@ from .scoring import gram
 from .stats import regression_fit
 
 NOISE = 0.1
+# Features that MLlib's normal equations accept.
+MAX_TERMS = 4096
 
 
 def _vector(df: DataFrame) -> DataFrame:
@@ -53,11 +55,11 @@ class ForestModel:
 
 
 def fit_forest(
-    df: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42
+    df: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42, bootstrap: bool = True
 ) -> ForestModel:
-    """Random forest on ``x`` and ``y``."""
+    """Random forest on ``x`` and ``y``; without ``bootstrap`` every tree sees all rows."""
     forest = RandomForestRegressor(
-        featuresCol="_vec", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="_vec", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap
     )
     return ForestModel(forest.fit(_vector(df)))
 
@@ -77,8 +79,13 @@ def _expanded(df: DataFrame) -> DataFrame:
 
 
 def fit_quadratic(df: DataFrame) -> QuadraticModel:
-    """Least squares on all first- and second-order terms, by the normal equations."""
-    ls = LinearRegression(featuresCol="_poly", labelCol="y", solver="normal")
+    """Least squares on all first- and second-order terms.
+
+    By the normal equations up to as many terms as that solver takes, else by iteration.
+    """
+    width = len(df.select("x").first()["x"])
+    terms = width * (width + 3) // 2
+    ls = LinearRegression(featuresCol="_poly", labelCol="y", solver="normal" if terms <= MAX_TERMS else "l-bfgs")
     return QuadraticModel(ls.fit(_expanded(df)))
 
 

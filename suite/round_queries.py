@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from fieldtrial.operators import generate, kernel_state, scoring
+from fieldtrial.operators import generate, kernel_state, models, scoring, stats
+from fieldtrial.operators.campaign_models import campaign_posterior
 from fieldtrial.operators.selection import select_batch
 from fieldtrial.operators.surfaces import fit_surfaces, surface_values
 from fieldtrial.plans import protocols, stateful
 
 from .generation_queries import split_sql
 from .inputs import POOL, pool, rounded
-from .registry import query, s_cdf, s_hash, s_normal, s_pdf, s_u
+from .registry import query, s_cdf, s_hash, s_normal, s_pdf, s_u, table
 
 C = ["campaign"]
 KMM = "(1 + 1e-6::DOUBLE)"
@@ -352,3 +354,136 @@ def d_optimal_second(spark, sf):
     scored = scoring.d_optimal(split.where("NOT hidden"), split.where("hidden"), C, order=2)
     picks = select_batch(scored.withColumn("score", F.round("score", 8)), C, 5)
     return rounded(picks.select("campaign", "point_id", "score", "batch_position"))
+
+
+@query(
+    "m8_campaign_posterior_sums",
+    f"""WITH {POOL}, {split_sql("0.9", "5")}, {_basis_sql("(SELECT p.* FROM split p WHERE NOT hidden)")},
+    obs AS (SELECT kp.* FROM kp JOIN split USING (campaign, point_id) WHERE NOT hidden), fit AS {_fit_sql("obs")}
+    SELECT campaign, point_id, round(k * w * sy + my, 6) AS mean, round({STD}, 6) AS std
+    FROM kp JOIN fit USING (campaign)""",
+)
+def campaign_posterior_sums(spark, sf):
+    """One kernel model per brand, with one inducing point, on all points of the brand."""
+    p = pool(spark, sf)
+    observed = generate.hide_split(p, C, 0.9, 5).where("NOT hidden")
+    return rounded(campaign_posterior(observed, p, C, m=1).select("campaign", "point_id", "mean", "std"))
+
+
+@query(
+    "m23_gp_ei_picks",
+    f"""SELECT campaign, point_id, score, batch_position FROM ({_refit_sql(1, 10, 10)})""",
+)
+def gp_ei_picks(spark, sf):
+    """One round of expected improvement by the scorer that fits anew in every round."""
+    split = generate.hide_split(pool(spark, sf), C, 0.9, 5)
+    scored = protocols.gp_ei(C, m=1)(split.where("hidden"), split.where("NOT hidden"))
+    picks = select_batch(scored.withColumn("score", F.round("score", 6)), C, 10)
+    return picks.select("campaign", "point_id", "score", "batch_position")
+
+
+@query(
+    "m22_pca2_pool",
+    f"""WITH {POOL}, c AS (SELECT var_samp(x1) AS a, covar_samp(x1, x2) AS b, var_samp(x2) AS d FROM pool),
+    e AS (SELECT *, (a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b) AS l1 FROM c),
+    v AS (SELECT b / sqrt(b * b + power(l1 - a, 2)) AS v1, (l1 - a) / sqrt(b * b + power(l1 - a, 2)) AS v2 FROM e),
+    s AS (SELECT v1 * sign(CASE WHEN abs(v1) >= abs(v2) THEN v1 ELSE v2 END) AS v1,
+      v2 * sign(CASE WHEN abs(v1) >= abs(v2) THEN v1 ELSE v2 END) AS v2 FROM v),
+    w AS (SELECT v1, v2, -v2 * sign(CASE WHEN abs(v2) > abs(v1) THEN -v2 ELSE v1 END) AS w1,
+      v1 * sign(CASE WHEN abs(v2) > abs(v1) THEN -v2 ELSE v1 END) AS w2 FROM s)
+    SELECT campaign, point_id, round(x1 * v1 + x2 * v2, 5) AS pc1, round(x1 * w1 + x2 * w2, 5) AS pc2 FROM pool, w""",
+)
+def pca_pool(spark, sf):
+    """Both principal components of the pool's two features."""
+    scores, _ = models.pca2(pool(spark, sf))
+    return rounded(scores.select("campaign", "point_id", "pc1", "pc2"), 5)
+
+
+@query(
+    "a20_surrogates_pool",
+    f"""WITH {POOL}, s AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2,
+      avg(y) AS my, stddev_pop(y) AS sy FROM pool),
+    k AS (SELECT y AS label, exp(-0.5::DOUBLE * (power((x1 - 25) / s1, 2) + power((x2 - 1500) / s2, 2))) AS k,
+      (y - my) / sy AS y, my, sy FROM pool, s),
+    f AS (SELECT sum(k * k) AS a, sum(k * y) AS b FROM k),
+    p AS (SELECT config, label, k * b / (a + {NOISE} * ridge) * sy + my AS mean FROM k, f,
+      (VALUES ('nystrom', 1.1::DOUBLE), ('vfe', {KMM})) AS c(config, ridge))
+    SELECT config, round(avg(power(label - mean, 2)), 4) AS mse,
+      round(1 - avg(power(label - mean, 2)) / var_pop(label), 6) AS r2 FROM p GROUP BY 1""",
+)
+def surrogates_pool(spark, sf):
+    """Two kernel models of the pool with one inducing point, compared by error and fit."""
+    z = np.array([[25.0, 1500.0]])
+    configs = {
+        "nystrom": (lambda df: df, lambda df: models.fit_nystrom(df, z), "mean"),
+        "vfe": (lambda df: df, lambda df: models.fit_vfe(df, z), "mean"),
+    }
+    out = models.compare_surrogates(pool(spark, sf), configs)
+    return out.select("config", F.round("mse", 4).alias("mse"), F.round("r2", 6).alias("r2"))
+
+
+@query(
+    "m1_forest_stump",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS v, l_extendedprice AS y FROM lineitem),
+    steps AS (SELECT DISTINCT v FROM l),
+    cuts AS (SELECT v, (v + lead(v) OVER (ORDER BY v)) / 2 AS cut FROM steps),
+    gain AS (SELECT cut, sum(y) FILTER (WHERE l.v <= cut) AS a, count(*) FILTER (WHERE l.v <= cut) AS n,
+      sum(y) FILTER (WHERE l.v > cut) AS b, count(*) FILTER (WHERE l.v > cut) AS m
+      FROM cuts, l WHERE cut IS NOT NULL GROUP BY cut),
+    best AS (SELECT cut, a / n AS low, b / m AS high FROM gain ORDER BY a * a / n + b * b / m DESC LIMIT 1)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN v <= cut THEN low ELSE high END, 4) AS mean,
+      0.0::DOUBLE AS std FROM l, best""",
+)
+def forest_stump(spark, sf):
+    """A forest of one tree with one split of the discounts, grown on all rows."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.array("l_discount").alias("x"), F.col("l_extendedprice").alias("y")
+    )
+    out = models.fit_forest(lines, trees=1, depth=1, bootstrap=False).predict(lines)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("mean", 4).alias("mean"), "std")
+
+
+# All nine second-order terms of three standardized features, and the label, in one row.
+_TERMS3 = ["u1", "u2", "u3", "u1 * u1", "u1 * u2", "u1 * u3", "u2 * u2", "u2 * u3", "u3 * u3"]
+_ROWS10 = ", ".join(
+    "[" + ", ".join([f"sum(v[{i}] * v[{j}])" for j in range(1, 11)] + [f"sum(v[{i}] * y)"]) + "]" for i in range(1, 11)
+)
+QUADRATIC3 = f"""s AS (SELECT avg(l_quantity) m1, stddev_pop(l_quantity) s1, avg(l_discount) m2,
+      stddev_pop(l_discount) s2, avg(l_tax) m3, stddev_pop(l_tax) s3 FROM lineitem),
+    t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, [1.0::DOUBLE, {", ".join(_TERMS3)}] AS v FROM (
+      SELECT *, l_extendedprice AS y, (l_quantity - m1) / s1 AS u1, (l_discount - m2) / s2 AS u2, (l_tax - m3) / s3 AS u3
+      FROM lineitem, s)),
+    sums AS (SELECT 1 AS one, [{_ROWS10}] AS a FROM t),
+    {gauss_sql("steps", "sums", "one", 10)},
+    coef AS (SELECT list_transform(a, lambda row_: row_[11]) AS w FROM steps WHERE k = 11),
+    pred AS (SELECT t.*, list_dot_product(v, w) AS p FROM t, coef)"""
+
+
+def _surface(spark, sf):
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array("l_quantity", "l_discount", "l_tax").alias("x"),
+        F.col("l_extendedprice").alias("y"),
+    )
+    return models.fit_quadratic(lines).predict(lines)
+
+
+@query(
+    "m2_quadratic_all",
+    f"""WITH RECURSIVE {QUADRATIC3} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(p, 1) AS prediction
+    FROM pred""",
+)
+def quadratic_all(spark, sf):
+    """The response surface of price over quantity, discount and tax with all squares and products."""
+    out = _surface(spark, sf)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("prediction", 1).alias("prediction"))
+
+
+@query(
+    "a9_regression_fit_all",
+    f"""WITH RECURSIVE {QUADRATIC3} SELECT round(avg((y - p) * (y - p)), 2) AS mse,
+    round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, count(*) AS n FROM pred""",
+)
+def regression_all(spark, sf):
+    """Error and fit of the surface over all three features."""
+    out = stats.regression_fit(_surface(spark, sf), "y", "prediction")
+    return out.select(F.round("mse", 2).alias("mse"), F.round("r2", 6).alias("r2"), "n")
