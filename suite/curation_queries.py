@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtrial.functions import text as tx
+from fieldtrial.functions.sql import register_functions
 from fieldtrial.operators import curation
 from fieldtrial.session import scratch_path
 from fieldtrial.sources import results as result_files
@@ -274,9 +275,7 @@ def p21(spark, sf):
     return curation.summarize_flags(_verdicts(spark, sf))
 
 
-@query(
-    "p22_parse_variants",
-    r"""WITH a AS (SELECT doc_id, CASE doc_id % 3
+_P22_SQL = r"""WITH a AS (SELECT doc_id, CASE doc_id % 3
       WHEN 0 THEN [lang, ' ' || source || ' ', '', lang, 'v' || n_chars]
       WHEN 1 THEN ['w' || n_chars, source, 'w' || n_chars]
       ELSE string_split(text, chr(10)) END AS raw FROM documents),
@@ -284,9 +283,20 @@ def p21(spark, sf):
       trim(CASE WHEN doc_id % 3 = 2 THEN trim(v, '•- ' || chr(9)) ELSE v END,
         ' ' || chr(9) || chr(13) || chr(160))),
       lambda v: v <> '') AS l FROM a)
-    SELECT doc_id, list_filter(l, lambda v, i: list_position(l, v) = i) AS variants FROM b""",
+    SELECT doc_id, list_filter(l, lambda v, i: list_position(l, v) = i) AS variants FROM b"""
+
+
+@query(
+    "p22_parse_variants",
+    _P22_SQL,
 )
 def p22(spark, sf):
+    answers = _answers(spark, sf)
+    return answers.select("doc_id", tx.parse_variants(F.col("answer")).alias("variants"))
+
+
+def _answers(spark, sf):
+    """Documents as answers: a JSON object, a JSON array, or lines of text."""
     d = table(spark, sf, "documents")
     k = F.col("doc_id") % 3
     n = F.col("n_chars").cast("string")
@@ -297,7 +307,24 @@ def p22(spark, sf):
         .when(k == 1, F.to_json(second))
         .otherwise(F.col("text"))
     )
-    return d.select("doc_id", tx.parse_variants(answer).alias("variants"))
+    return d.select("doc_id", answer.alias("answer"))
+
+
+@query(
+    "p22_variants_by_sql",
+    _P22_SQL.replace(
+        "SELECT doc_id, list_filter(l, lambda v, i: list_position(l, v) = i) AS variants FROM b",
+        """, c AS (SELECT doc_id, list_filter(l, lambda v, i: list_position(l, v) = i) AS variants FROM b)
+    SELECT doc_id, unnest(variants) AS variant, CAST(unnest(range(1, len(variants) + 1)) AS INTEGER) AS ordinal FROM c""",
+    ),
+)
+def p22_sql(spark, sf):
+    """The variants of every answer by a table function, called from SQL with LATERAL."""
+    register_functions(spark)
+    return spark.sql(
+        "SELECT a.doc_id, v.ordinal, v.variant FROM {answers} AS a, LATERAL paper_variants(a.answer) AS v",
+        answers=_answers(spark, sf),
+    )
 
 
 @query(

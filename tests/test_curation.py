@@ -104,3 +104,23 @@ def test_judge_request(spark):
     assert "d" * 2000 in cut["request"] and "d" * 2001 not in cut["request"]
     assert cut["system"] == curation.JUDGE_SYSTEM
     assert '- Buffer: "{ph}"' in text and '- pH: "7"' in text and '- Protein concentration: ""' in text
+
+
+def test_variants_by_sql_equal_the_column_function(spark):
+    from fieldtrial.functions.sql import register_functions
+    from fieldtrial.functions.text import parse_variants
+
+    register_functions(spark)
+    answers = [
+        None, "", "  ", '{"variants": [" A ", "", "A", null, "B"]}', '["x", "y", "x"]', "• one\n- two\r\n\tone three",
+        '{"other": 1}', "[broken", "{broken}", "it's 'quoted'\n\\d+", " \n",
+    ]
+    table = spark.createDataFrame(list(enumerate(answers)), "id int, answer string")
+    rows = spark.sql(
+        "SELECT t.id, v.ordinal, v.variant FROM {t} AS t, LATERAL paper_variants(t.answer) AS v", t=table
+    ).collect()
+    got = {i: [] for i in range(len(answers))}
+    for r in sorted(rows):
+        got[r.id].append(r.variant)
+    want = table.select("id", parse_variants(table.answer).alias("v")).collect()
+    assert got == {r.id: r.v or [] for r in want}
