@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import join_small
 
 # Surrogate and mode combinations of the published sweep.
 SURROGATES = ("GP", "RF", "NN", "BNN")
@@ -81,4 +80,4 @@ def sweep_grid(
 
 def pending_cells(cells: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells that are not finished yet."""
-    return join_small(cells, done.select(*keys).distinct(), keys, "left_anti")
+    return cells.join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -14,6 +14,8 @@ BROADCAST_BYTES = 16 << 20
 # A key with more rows than this is not left to one task.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
+# Parts into which the rows of a hot key are dealt where its values are too large to broadcast.
+SALTS = 64
 # A side that Spark itself rates at no more than this is broadcast without being computed first.
 SMALL_BYTES = 256 << 10
 
@@ -103,11 +105,12 @@ def join_small(
 ) -> DataFrame:
     """Join rows with per-key values, without ever sending a hot key to one task.
 
-    A side that comes from little input is broadcast as it is. Otherwise ``small`` is computed once into
-    the shared folder (``computed`` says it already is) and counted there; up to ``max_rows`` rows and ``BROADCAST_BYTES`` of files it is broadcast. A larger side
-    is joined by shuffle, except for the keys that hold more than ``hot_rows`` rows and a
-    ten-thousandth of ``df``: there are at most ``MAX_HOT_KEYS`` of them, and their values are
-    broadcast where they are small enough.
+    A side that comes from little input is broadcast as it is. Otherwise ``small`` is computed once
+    into the shared folder (``computed`` says it already is) and counted there; up to ``max_rows``
+    rows and ``BROADCAST_BYTES`` of files it is broadcast. A larger side is joined by shuffle, except
+    for the keys that hold more than ``hot_rows`` rows and a ten-thousandth of ``df``: there are at
+    most ``MAX_HOT_KEYS`` of them, and their values are broadcast where they are small enough, else
+    their rows are dealt by their content over ``SALTS`` copies of the values.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if max_rows == BROADCAST_ROWS and plan_bytes(small) <= SMALL_BYTES:
@@ -122,9 +125,13 @@ def join_small(
         return df.join(side, keys, how)
     hot = F.broadcast(hot)
     few = cut_lineage(side.join(hot, keys, "left_semi"), "few")
-    if table_bytes(few) > BROADCAST_BYTES:
-        return df.join(side, keys, how)
-    few = F.broadcast(few)
-    crowded = df.join(hot, keys, "left_semi").join(few, keys, how)
+    crowded = df.join(hot, keys, "left_semi")
+    if table_bytes(few) <= BROADCAST_BYTES:
+        crowded = crowded.join(F.broadcast(few), keys, how)
+    else:
+        hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+        dealt = crowded.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int"))
+        copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        crowded = dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
     rest = df.join(hot, keys, "left_anti").join(side, keys, how)
     return crowded.unionByName(rest)

@@ -87,3 +87,17 @@ def test_a_missed_bracket_is_solved_again(spark, monkeypatch):
     monkeypatch.setattr(exact, "_bracketed", misses)
     got = exact.exact_quantiles(df, ["k"], "v", {"low": 0.05, "high": 0.9}, hot_rows=10).first()
     assert got.low == pytest.approx(49.95) and got.high == pytest.approx(899.1)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("bound", [0, 1 << 24])
+def test_hot_keys_with_values_of_any_size(spark, monkeypatch, how, bound):
+    from fieldtrial import session
+
+    monkeypatch.setattr(session, "BROADCAST_BYTES", bound)
+    rows = [("hot", k) for k in range(200)] + [(f"k{k}", k) for k in range(40)]
+    side = [("hot", "value"), *[(f"k{k}", f"v{k}") for k in range(0, 60, 2)]]
+    df = spark.createDataFrame(rows, "key string, n long")
+    small = spark.createDataFrame(side, "key string, value string")
+    got = session.join_small(df, small, "key", how, max_rows=1, hot_rows=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, df.join(small, "key", how).collect()))
