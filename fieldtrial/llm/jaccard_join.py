@@ -361,7 +361,7 @@ class Join:
         return listed.distinct(), rows.where(f"met > {SMALL}").drop("met")
 
     def links(self) -> DataFrame:
-        """Pairs (x, y) of similar classes that connect all that similar pairs connect."""
+        """Stars (hi, lo) of the components that the similar pairs of classes make."""
         first = self.classes.select(F.explode("sigs").alias("key"), "f", F.col("f").alias("root"))
         pairs, large = self.groups(first, "first")
         large = large.select("key", "f")
@@ -376,32 +376,34 @@ class Join:
         stars = connect(found, self.scratch)
         groups = self.open_groups(spokes, stars)
         self.scratch.drop("spokes")
-        return stars.select(F.col("hi").alias("x"), F.col("lo").alias("y")) if groups is None else self.refined(stars, *groups)
+        return stars if groups is None else self.refined(stars, *groups)
 
     def open_groups(self, spokes: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """Members (group, f, root) of the components of hubs that have members of other components,
-        and one hub per component as (group, hub). None if there are no such components.
+        """Members (group, f, root) of the hubs that met members of other components, and one hub per
+        component as (group, hub). None if there are no such hubs.
 
-        A component's hubs are taken together, so a member is there once however many of them it met.
+        Only those hubs are open; the open ones of a component are taken together as one group, so a
+        member is there once however many of them it met.
         """
         roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
         hubs = spokes.select(F.col("hub").alias("f")).distinct().join(roots, "f", "left")
         hubs = hubs.select(F.col("f").alias("hub"), F.coalesce("root", "f").alias("group"))
         hubs = self.scratch.write(hubs, "hub-roots")
-        placed = join_sized(spokes, hubs, ["hub"], "inner", self.scratch, "hub-roots").select("group", "f").distinct()
-        placed = placed.unionByName(hubs.select("group", F.col("hub").alias("f")).distinct())
-        members = placed.join(roots, "f", "left").select("group", "f", F.coalesce("root", "f").alias("root"))
-        members = self.scratch.write(members.distinct(), "members")
-        apart = self.scratch.write(members.where("root <> group").select("group").distinct(), "apart")
+        placed = join_sized(spokes, hubs, ["hub"], "inner", self.scratch, "hub-roots").join(roots, "f", "left")
+        placed = placed.select("group", "hub", "f", F.coalesce("root", "f").alias("root"))
+        placed = self.scratch.write(placed, "placed")
+        apart = self.scratch.write(placed.where("root <> group").select("hub").distinct(), "apart")
         if apart.isEmpty():
             return None
-        members = join_sized(members, apart, ["group"], "left_semi", self.scratch, "apart")
-        leaders = hubs.groupBy("group").agg(F.min("hub").alias("hub"))
-        leaders = join_sized(leaders, apart, ["group"], "left_semi", self.scratch, "apart")
+        members = join_sized(placed, apart, ["hub"], "left_semi", self.scratch, "apart").select("group", "f", "root")
+        leaders = join_sized(hubs, apart, ["hub"], "left_semi", self.scratch, "apart")
+        itself = leaders.select("group", F.col("hub").alias("f"), F.col("group").alias("root"))
+        members = members.unionByName(itself).distinct()
+        leaders = leaders.groupBy("group").agg(F.min("hub").alias("hub"))
         return self.scratch.write(members, "open"), self.scratch.write(leaders, "leaders")
 
     def refined(self, stars: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Links that connect what ``stars`` and the similar members of open groups do.
+        """Stars of the components that ``stars`` and the similar members of open groups make.
 
         Members of a group's own component are connected, so only pairs with an outsider matter:
         outsiders list the elements by which a partner must meet them, and insiders only those of
@@ -429,7 +431,7 @@ class Join:
 
         tokens = both.select("group", "f", "root", "own", "hub_own").mapInArrow(prefix, schema)
         tokens = self.scratch.write(tokens, "prefixes")
-        self.scratch.drop("open-sets", "hub-sets", "open", "members", "apart", "hub-roots", "leaders")
+        self.scratch.drop("open-sets", "hub-sets", "open", "placed", "apart", "hub-roots", "leaders")
         each = tokens.select("group", "f", "root", F.explode("tokens").alias("token"))
         keyed = each.select(F.xxhash64("group", "token").alias("key"), "f", "root", "group")
         outside = keyed.where("root <> group")
@@ -439,9 +441,8 @@ class Join:
         near = self.verified(pairs, "second")
         # Large groups again: members that are not yet in their group's component are compared with
         # every member that is in another one, in blocks.
-        connected = stars.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
-        stars = connect(connected.unionByName(near), self.scratch)
-        connected = stars.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
+        pairs_of = lambda s: s.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
+        stars = connect(pairs_of(stars).unionByName(near), self.scratch)
         roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
         still = large.select("group", "f").distinct().join(roots, "f", "left")
         still = self.scratch.write(still.select("group", "f", F.coalesce("root", "f").alias("root")), "still")
@@ -455,7 +456,7 @@ class Join:
         marked = marked.join(self.classes.select("f", "n", "sketch"), "f")
         marked = self.scratch.write(marked.select("group", "f", "n", "sketch", "root", "group_root"), "marked")
         if marked.isEmpty():
-            return connected
+            return stars
 
         def compare(batches):
             for batch in batches:
@@ -464,11 +465,10 @@ class Join:
 
         likely = _block_pairs(marked, marked.where("root <> group_root")).mapInArrow(compare, "x long, y long")
         likely = self.scratch.write(likely.distinct(), "third-likely")
-        return connected.unionByName(self.exact(likely, "third"))
+        return connect(pairs_of(stars).unionByName(self.exact(likely, "third")), self.scratch)
 
-    def components(self, links: DataFrame) -> DataFrame:
+    def components(self, stars: DataFrame) -> DataFrame:
         """(f, component): the smallest doc_id that links reach, for every linked class."""
-        stars = connect(links, self.scratch)
         ids = self.classes.select("f", "doc_id")
         label = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
         label = label.unionByName(label.select(F.col("root").alias("f"), "root").distinct())
