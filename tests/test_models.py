@@ -73,6 +73,27 @@ def test_forest_mean_is_the_mean_of_its_trees(data):
     assert (both["std"] >= 0).all() and both["std"].max() > 0
 
 
+def test_changed_training_rows_are_computed_once(data, spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def louder(y):
+        computed.add(1)
+        return 2.0 * y
+
+    configs = {
+        "plain": (lambda d: d, lambda d: models.fit_forest(d, trees=2, depth=2), "mean"),
+        "loud": (lambda d: d.withColumn("y", louder("y")), lambda d: models.fit_forest(d, trees=2, depth=2), "mean"),
+    }
+    rows = {r["config"]: r for r in models.compare_surrogates(data, configs).collect()}
+    assert computed.value == len(X) and rows["loud"]["mse"] > rows["plain"]["mse"]
+
+
+def test_a_forest_mean_evaluates_the_forest_once(data):
+    out = models.fit_forest(data, trees=5, depth=2).predict(data).select("mean")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("UDF") == 2  # vector, forest
+
+
 def test_inducing_points(data):
     assert len(models.inducing_points(data, 500)) == 120
     assert models.inducing_points(data, 8).shape == (8, 3)
