@@ -7,11 +7,12 @@ differs in one element where the band's allocation says so (then the segment's s
 element less are indexed too). Documents meet by the hashes of their segments.
 
 Equal sets are one class and join once. A group of classes that meet is compared pair by pair only
-up to SMALL members; a larger one is compared with its hub. Where members of a large group are not
-linked with the hub, the group is refined: against the hub's set, similar members share one of
-their elements that come first when the elements the hub lacks are taken first. What still meets in
-a large group is compared in blocks. So every link that joins two components is found, and no group
-is written out as pairs.
+up to SMALL members. A set leaves larger groups, the largest first, as far as it has segments to
+spare: those are mostly groups of unlike sets with some passage in common. A group that stays large
+is compared with its hub. Where members of large groups are not linked with the hub, these members
+are refined together, each once: similar ones share one of their elements that come first when the
+elements rare among them are taken first. What still meets in a large group is compared in blocks.
+So every link that joins two components is found, and no group is written out as pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, join_sized
@@ -32,6 +33,11 @@ BAND = 1.5
 SMALL = 16
 # What a match by chance costs against one more signature, in the choice of an allocation.
 CHANCE_COST = 16
+# The share of its segments by which a set of its band's least size need not meet others, because too
+# many share them.
+ROOM = 0.05
+# Counters by which the elements of open members are ordered, rare ones first.
+SLOTS = 1 << 16
 BLOCK = 64
 # Packs of a group that one task compares with the group's outsiders.
 LANE = 16
@@ -99,7 +105,8 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
     ones + 2 twos must exceed the differences of the band's largest pair; of the choices that do,
     the cheapest. The cost is that of the signatures and of the matches by chance, which halve with
     every element of a segment. Spare segments of the first kind make up for those that are empty
-    in a set of the band's least size, so that hardly a set needs to meet others by emptiness.
+    in a set of the band's least size (or hold one element where one less shall match), so that
+    hardly a set needs to meet others by emptiness, and for a share of ROOM that is left.
     """
     top = band_start(band + 1) - 1
     most = most_differences(top, top * 100 // percent, percent)
@@ -114,18 +121,22 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
     twos = min(range((most + 2) // 2 + 1), key=cost)
     segments, spare, least = max(most + 1 - 2 * twos, 0) + twos, 0, band_start(band)
     for spare in range(segments + 1):
-        empty = (segments + spare) * (1 - 1 / (segments + spare)) ** least
-        if spare >= empty + 2 * empty**0.5:
+        none = (1 - 1 / (segments + spare)) ** least
+        one = none * least / max(segments + spare - 1, 1)
+        lost = (segments + spare - twos) * none + 2 * twos * (none + one)
+        if spare >= lost + 3 * lost**0.5 + ROOM * segments:
             break
     return segments + spare, twos, spare
 
 
-def signatures(own: np.ndarray, percent: int) -> np.ndarray:
-    """The hashes by which a set meets others: those of its own band, and of the band below where
-    it can have a partner there."""
-    if not len(own):
-        return own
-    home, out = band_of(len(own)), []
+def signature_parts(own: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The hashes by which a set meets others, for its own band and for the band below where it can
+    have a partner there: (of segments that also match with one element less, of the others, room).
+
+    A similar set has one of them even without some that count no more than ``room``, where a hash
+    of the first kind counts 2 and one of the second kind 1. Room below 0: all are needed.
+    """
+    home, out = band_of(len(own)) if len(own) else -1, []
     for band in (home, home - 1):
         if band < 0 or (band < home and (band_start(band + 1) - 1) * 100 < percent * len(own)):
             continue
@@ -142,13 +153,18 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
         # more than ``spare`` of them, every similar set is met by another segment.
         lost = 2 * np.count_nonzero(held[:twos] <= 1) + np.count_nonzero(held[twos:] == 0)
         full = held > 0 if lost <= spare else held >= 0
-        out.append(mix(total + salt)[full])
-        if twos:
-            fewer = at < twos
-            if lost <= spare:
-                fewer &= held[at] > 1
-            out.append(mix(total[at[fewer]] - element[fewer] + salt[at[fewer]]))
-    return np.concatenate(out) if out else own[:0]
+        whole = mix(total + salt)
+        fewer = at < twos
+        if lost <= spare:
+            fewer &= held[at] > 1
+        less = mix(total[at[fewer]] - element[fewer] + salt[at[fewer]])
+        out.append((np.concatenate([whole[:twos][full[:twos]], less]), whole[twos:][full[twos:]], spare - lost))
+    return out
+
+
+def signatures(own: np.ndarray, percent: int) -> np.ndarray:
+    """All hashes by which a set meets others."""
+    return np.concatenate([own[:0], *(keys for *both, _ in signature_parts(own, percent) for keys in both)])
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -250,12 +266,12 @@ class Join:
         self.copies = scratch.write(copies.where("n_copies > 1"), "copies")
         led = join_sized(filled, self.copies, ["f"], "left", scratch, "copies")
         is_lead = F.col("lead").isNull() | F.struct("doc_id", "h").eqNullSafe(F.col("lead"))
-        #: One row per class of equal sets: f, doc_id, h, n, sigs, sketch.
+        #: One row per class of equal sets: f, doc_id, h, n, sigs, parts (see ``needed``), sketch.
         self.classes = led.where(is_lead).drop("lead", "n_copies", "first")
 
     def _indexed(self) -> DataFrame:
         width, percent = self.width, self.percent
-        schema = "doc_id long, h long, n long, f long, sigs array<long>, sketch binary"
+        schema = "doc_id long, h long, n long, f long, sigs array<long>, parts array<long>, sketch binary"
 
         def index(batches):
             for batch in batches:
@@ -266,7 +282,10 @@ class Join:
                     own = shingle_set(text.as_py(), width)
                     f = xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0
                     f -= (f >> 63) << 64
-                    rows.append((doc_id, h, len(own), f, signatures(own, percent).view(np.int64), sketch(own)))
+                    dealt = signature_parts(own, percent)
+                    sigs = np.concatenate([own[:0], *(keys for *both, _ in dealt for keys in both)]).view(np.int64)
+                    parts = [k for twos, ones, room in dealt for k in (len(twos), len(ones), room)]
+                    rows.append((doc_id, h, len(own), f, sigs, parts, sketch(own)))
                 yield _batch(schema, rows)
 
         return self.docs.mapInArrow(index, schema)
@@ -347,8 +366,10 @@ class Join:
         met = members.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
         met = self.scratch.write(met, f"{name}-met")
         rows = join_sized(members, met, ["key"], "inner", self.scratch, f"{name}-met")
+        if "room" in rows.columns:
+            rows = self.needed(self.scratch.write(rows, f"{name}-all"))
         rows = self.scratch.write(rows, f"{name}-rows")
-        self.scratch.drop(f"{name}-met")
+        self.scratch.drop(f"{name}-met", *([f"{name}-all"] if f"{name}-all" in self.scratch.paths else []))
         small = rows.where(f"met <= {SMALL}").groupBy("key").agg(
             F.sort_array(F.collect_set(F.struct("f", "root"))).alias("all")
         )
@@ -360,93 +381,130 @@ class Join:
         listed = small.select(F.explode(F.flatten(F.transform("all", with_earlier))).alias("p")).select("p.x", "p.y")
         return listed.distinct(), rows.where(f"met > {SMALL}").drop("met")
 
+    def needed(self, rows: DataFrame) -> DataFrame:
+        """The rows (key, f, root, met) of ``rows`` without memberships in large groups that need not be.
+
+        A set leaves its largest groups as far as its room allows. All sets go by one order of the
+        groups, so of two similar sets the one that leaves off earlier still has a group in common
+        with the other, which the other has not left either.
+        """
+        order = Window.partitionBy("f", "part").orderBy(F.desc("met"), "key")
+        large = rows.where(f"met > {SMALL}").withColumn("left", F.sum("weight").over(order))
+        large = large.where("left > room").select("key", "f", "root")
+        large = self.scratch.write(large, "needed")
+        met = large.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
+        met = self.scratch.write(met, "needed-met")
+        large = join_sized(large, met, ["key"], "inner", self.scratch, "needed-met")
+        return rows.where(f"met <= {SMALL}").select("key", "f", "root", "met").unionByName(large)
+
     def links(self) -> DataFrame:
         """Stars (hi, lo) of the components that the similar pairs of classes make."""
-        first = self.classes.select(F.explode("sigs").alias("key"), "f", F.col("f").alias("root"))
+        first = self.classes.select(F.posexplode("sigs").alias("at", "key"), "f", F.col("f").alias("root"), "parts")
+        # parts holds three numbers for each band of a set: signatures that count 2, that count 1, room.
+        part = F.when(F.col("at") < F.col("parts")[0] + F.col("parts")[1], 0).otherwise(1)
+        first = first.withColumn("part", part)
+        at = F.col("at") - F.when(F.col("part") == 1, F.col("parts")[0] + F.col("parts")[1]).otherwise(0)
+        first = first.select(
+            "key", "f", "root", "part",
+            F.when(at < F.get("parts", F.col("part") * 3), 2).otherwise(1).alias("weight"),
+            F.get("parts", F.col("part") * 3 + 2).alias("room"),
+        )
         pairs, large = self.groups(first, "first")
-        large = large.select("key", "f")
-        # The hub of a group is the member of the most large groups: the text the others stem from.
-        ranked = large.join(large.groupBy("f").agg(F.count(F.lit(1)).alias("degree")), "f")
-        hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "f"))["f"].alias("hub"))
-        spokes = large.join(hubs, "key").where("f <> hub").select("hub", "f").distinct()
+        spokes = self.with_hubs(large).where("f <> hub").select("hub", "f").distinct()
         spokes = self.scratch.write(spokes, "spokes")
         least, most = F.least("hub", "f").alias("x"), F.greatest("hub", "f").alias("y")
         found = self.verified(pairs.unionByName(spokes.select(least, most)), "first")
-        self.scratch.drop("first-rows")
+        self.scratch.drop("first-rows", "needed", "needed-met")
         stars = connect(found, self.scratch)
-        groups = self.open_groups(spokes, stars)
+        members = self.open_members(spokes, stars)
         self.scratch.drop("spokes")
-        return stars if groups is None else self.refined(stars, *groups)
+        return stars if members is None else self.refined(stars, members)
 
-    def open_groups(self, spokes: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """Members (group, f, root) of the hubs that met members of other components, and one hub per
-        component as (group, hub). None if there are no such hubs.
+    def with_hubs(self, large: DataFrame) -> DataFrame:
+        """``large`` (key, f) with the hub of each group: the member of the most large groups, the text
+        the others stem from."""
+        large = large.select("key", "f")
+        ranked = large.join(large.groupBy("f").agg(F.count(F.lit(1)).alias("degree")), "f")
+        hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "f"))["f"].alias("hub"))
+        return large.join(hubs, "key")
 
-        Only those hubs are open; the open ones of a component are taken together as one group, so a
-        member is there once however many of them it met.
+    def open_members(self, spokes: DataFrame, stars: DataFrame) -> DataFrame | None:
+        """Members (f, root) of the hubs that met members of other components, those hubs included.
+        None if there are no such hubs. A member is there once however many hubs it met.
         """
         roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
         hubs = spokes.select(F.col("hub").alias("f")).distinct().join(roots, "f", "left")
-        hubs = hubs.select(F.col("f").alias("hub"), F.coalesce("root", "f").alias("group"))
+        hubs = hubs.select(F.col("f").alias("hub"), F.coalesce("root", "f").alias("hub_root"))
         hubs = self.scratch.write(hubs, "hub-roots")
         placed = join_sized(spokes, hubs, ["hub"], "inner", self.scratch, "hub-roots").join(roots, "f", "left")
-        placed = placed.select("group", "hub", "f", F.coalesce("root", "f").alias("root"))
+        placed = placed.select("hub", "hub_root", "f", F.coalesce("root", "f").alias("root"))
         placed = self.scratch.write(placed, "placed")
-        apart = self.scratch.write(placed.where("root <> group").select("hub").distinct(), "apart")
+        apart = self.scratch.write(placed.where("root <> hub_root").select("hub").distinct(), "apart")
         if apart.isEmpty():
             return None
-        members = join_sized(placed, apart, ["hub"], "left_semi", self.scratch, "apart").select("group", "f", "root")
-        leaders = join_sized(hubs, apart, ["hub"], "left_semi", self.scratch, "apart")
-        itself = leaders.select("group", F.col("hub").alias("f"), F.col("group").alias("root"))
-        members = members.unionByName(itself).distinct()
-        leaders = leaders.groupBy("group").agg(F.min("hub").alias("hub"))
-        return self.scratch.write(members, "open"), self.scratch.write(leaders, "leaders")
-
-    def refined(self, stars: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Stars of the components that ``stars`` and the similar members of open groups make.
-
-        Members of a group's own component are connected, so only pairs with an outsider matter:
-        outsiders list the elements by which a partner must meet them, and insiders only those of
-        theirs that an outsider has listed.
+        members = join_sized(placed, apart, ["hub"], "left_semi", self.scratch, "apart").select("f", "root")
+        itself = join_sized(hubs, apart, ["hub"], "left_semi", self.scratch, "apart")
+        itself = itself.select(F.col("hub").alias("f"), F.col("hub_root").alias("root"))
+        members = self.scratch.write(members.unionByName(itself).distinct(), "open")
+        self.scratch.drop("placed", "apart", "hub-roots")
+        return members
+
+    def frequencies(self, sets: DataFrame) -> np.ndarray:
+        """How many elements of ``sets`` (f, own) fall into each of SLOTS slots."""
+
+        def count(batches):
+            total = np.zeros(SLOTS, dtype=np.int64)
+            for batch in batches:
+                for own in batch.column(0):
+                    slots = (np.frombuffer(own.as_py(), _U) % _U(SLOTS)).astype(np.int64)
+                    total += np.bincount(slots, minlength=SLOTS)
+            used = np.flatnonzero(total)
+            yield _batch("slot long, n long", list(zip(used.tolist(), total[used].tolist())))
+
+        counted = sets.select("own").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        out = np.zeros(SLOTS, dtype=np.int64)
+        for row in counted.collect():
+            out[row["slot"]] = row["n"]
+        return out
+
+    def refined(self, stars: DataFrame, members: DataFrame) -> DataFrame:
+        """Stars of the components that ``stars`` and the similar ones of ``members`` (f, root) make.
+
+        Every member lists, once, the elements by which a partner must meet it, rare ones first. Only
+        elements that members of several components list matter.
         """
         percent = self.percent
         sets = self.sets_of(members, "open-sets")
-        of_hubs = leaders.join(sets.withColumnRenamed("f", "hub"), "hub")
-        of_hubs = self.scratch.write(of_hubs.select("group", F.col("own").alias("hub_own")), "hub-sets")
-        both = join_sized(members.join(sets, "f"), of_hubs, ["group"], "inner", self.scratch, "hub-sets")
-        schema = "group long, f long, root long, tokens array<long>"
+        often = self.frequencies(sets)
+        schema = "f long, root long, tokens array<long>"
 
         def prefix(batches):
             for batch in batches:
                 rows = []
-                columns = (batch.column(k).to_pylist() for k in ("group", "f", "root", "own", "hub_own"))
-                for group, f, root, own, of_hub in zip(*columns):
-                    own, of_hub = np.frombuffer(own, _U), np.frombuffer(of_hub, _U)
-                    common = np.isin(own, of_hub, assume_unique=True)
-                    ordered = np.concatenate([own[~common], own[common]])
+                for f, root, own in zip(*(batch.column(k).to_pylist() for k in ("f", "root", "own"))):
+                    own = np.frombuffer(own, _U)
+                    ordered = own[np.lexsort((own, often[(own % _U(SLOTS)).astype(np.int64)]))]
                     # Any partner shares ceil(p n) elements, so it has one of these.
                     n = len(own) - -(-percent * len(own) // 100) + 1
-                    rows.append((group, f, root, ordered[:n].view(np.int64)))
+                    rows.append((f, root, ordered[:n].view(np.int64)))
                 yield _batch(schema, rows)
 
-        tokens = both.select("group", "f", "root", "own", "hub_own").mapInArrow(prefix, schema)
+        tokens = members.join(sets, "f").select("f", "root", "own").mapInArrow(prefix, schema)
         tokens = self.scratch.write(tokens, "prefixes")
-        self.scratch.drop("open-sets", "hub-sets", "open", "placed", "apart", "hub-roots", "leaders")
-        each = tokens.select("group", "f", "root", F.explode("tokens").alias("token"))
-        keyed = each.select(F.xxhash64("group", "token").alias("key"), "f", "root", "group")
-        outside = keyed.where("root <> group")
-        asked = self.scratch.write(outside.select("key").distinct(), "outside-keys")
-        inside = join_sized(keyed.where("root = group"), asked, ["key"], "left_semi", self.scratch, "outside-keys")
-        pairs, large = self.groups(outside.unionByName(inside), "second")
+        self.scratch.drop("open-sets", "open")
+        keyed = tokens.select(F.explode("tokens").alias("key"), "f", "root")
+        mixed = keyed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        mixed = self.scratch.write(mixed.where("least <> most").select("key"), "mixed")
+        pairs, large = self.groups(join_sized(keyed, mixed, ["key"], "left_semi", self.scratch, "mixed"), "second")
         near = self.verified(pairs, "second")
-        # Large groups again: members that are not yet in their group's component are compared with
-        # every member that is in another one, in blocks.
+        # Large groups again, taken together by their hubs: members that are not yet in their hub's
+        # component are compared with every member that is in another one, in blocks.
         pairs_of = lambda s: s.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
         stars = connect(pairs_of(stars).unionByName(near), self.scratch)
         roots = stars.select(F.col("hi").alias("f"), F.col("lo").alias("root"))
-        still = large.select("group", "f").distinct().join(roots, "f", "left")
+        still = self.with_hubs(large).select(F.col("hub").alias("group"), "f").distinct().join(roots, "f", "left")
         still = self.scratch.write(still.select("group", "f", F.coalesce("root", "f").alias("root")), "still")
-        self.scratch.drop("prefixes", "outside-keys", "second-rows")
+        self.scratch.drop("prefixes", "mixed", "second-rows")
         group_roots = still.select(F.col("group").alias("f")).distinct().join(roots, "f", "left")
         group_roots = group_roots.select(F.col("f").alias("group"), F.coalesce("root", "f").alias("group_root"))
         group_roots = self.scratch.write(group_roots, "group-roots")

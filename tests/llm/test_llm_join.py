@@ -65,6 +65,65 @@ def test_many_near_copies_and_outsiders(spark):
         assert got == components(docs, 3, percent)
 
 
+def test_members_of_large_groups_are_refined_once(spark):
+    """Unlike texts that share passages meet in many large groups, but list their elements once."""
+    rng = random.Random(7)
+    passages = [fixture.sentence(rng, 30) for _ in range(8)]
+
+    def text():
+        parts = rng.sample(passages, 5) + [fixture.sentence(rng, 12)]
+        rng.shuffle(parts)
+        return " ".join(parts)
+
+    texts = [text() for _ in range(240)]
+    texts += [fixture.changed(rng, t, k % 9) for k, t in enumerate(texts[:60])]
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    listed = []
+
+    class Seen(J.Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if name == "prefixes":
+                listed.extend(out.select("f").toPandas().f)
+            return out
+
+    found = J.similar_documents(df, 5, 80, Seen(spark))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == components(docs, 5, 80)
+    assert len(listed) == len(set(listed)) > 0
+
+
+def test_sets_that_leave_large_groups_still_meet():
+    rng = random.Random(3)
+
+    def stays(own, percent, order):
+        kept = set()
+        for twos, ones, room in J.signature_parts(own, percent):
+            keys = sorted([(order(k), 2, k) for k in twos.tolist()] + [(order(k), 1, k) for k in ones.tolist()])
+            for _, weight, k in keys:
+                room -= weight
+                if room < 0:
+                    kept.add(k)
+        return kept
+
+    linked = left = 0
+    for k in range(400):
+        percent = (80, 90)[k % 2]
+        base = fixture.sentence(rng, rng.randrange(5, 400))
+        other = fixture.changed(rng, base, rng.randrange(0, 9)) + " " + fixture.sentence(rng, rng.randrange(1, 9))
+        a, b = J.shingle_set(base, 3), J.shingle_set(other, 3)
+        if J.similar(a, b, percent) and not np.array_equal(a, b):
+            linked += 1
+            both = set(J.signatures(a, percent).tolist()) & set(J.signatures(b, percent).tolist())
+            order = lambda key: (key not in both, key)  # noqa: E731  the groups they share are the largest
+            x, y = stays(a, percent, order), stays(b, percent, order)
+            left += len(x) < len(J.signatures(a, percent))
+            assert x & y
+    assert linked > 100 and left > 50
+
+
 def test_awkward_rows(spark):
     rows = [(1, "a b c d e f", 9), (1, "a b c d e f", 9), (1, "x y z u v w", 9), (None, "a b c d e f", 9), (None, None, 9), (2, "A b  c d\te f", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, h long")
